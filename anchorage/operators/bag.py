@@ -172,7 +172,7 @@ def bag_vectors(
     rows = (
         weights.join(index, "item_id")
         .groupBy("subject_id")
-        .agg(F.collect_list(F.struct("idx", F.col("weight").cast("double"))).alias("entries"))
+        .agg(F.collect_list(F.struct("idx", F.col("weight").cast("double").alias("weight"))).alias("entries"))
     )
     empty = F.array().cast("array<struct<idx:int,weight:double>>")
     table = (

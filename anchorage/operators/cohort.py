@@ -271,8 +271,10 @@ def subject_profile(
             if c in admissions.columns
         ],
     )
+    own = [c for c in details.columns if c != "admission_id"]
     profile = (
-        primary.join(details, "admission_id")
+        primary.drop(*own)
+        .join(details, "admission_id")
         .withColumn("min_to_end", rounded_minutes("disch_time", "in_time"))
         .withColumn("min_to_unit_out", rounded_minutes("latest_out", "in_time"))
         .withColumn("min_to_death", rounded_minutes("dod", "in_time"))

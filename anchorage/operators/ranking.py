@@ -3,6 +3,7 @@
 Each operator splits a group into chunks that follow the sort order, works
 inside (group, chunk), and carries one summary row per chunk across the
 chunks.  A group that holds a third of the table is then as parallel as any.
+Key columns are not null; unknown order values form a last chunk of their own.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ def quantile_chunk(df: DataFrame, column: str, chunks: int = CHUNKS) -> DataFram
 
 def time_chunk(df: DataFrame, column: str, unit: str = "month") -> DataFrame:
     """Add a calendar chunk of a timestamp; needs no pass over the data."""
-    return df.withColumn(_CHUNK, F.date_trunc(unit, F.col(column)))
+    last = F.lit("9999-12-31").cast("timestamp")
+    return df.withColumn(_CHUNK, F.coalesce(F.date_trunc(unit, F.col(column)), last))
 
 
 def hash_chunk(df: DataFrame, digest: str, digits: int = 2) -> DataFrame:
@@ -42,14 +44,11 @@ def hash_chunk(df: DataFrame, digest: str, digits: int = 2) -> DataFrame:
 
 
 def _join_chunks(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    """Bring chunk summaries back; null keys form a group like any other."""
-    renamed = summary
-    condition = None
-    for k in keys + [_CHUNK]:
-        renamed = renamed.withColumnRenamed(k, f"_s_{k}")
-        eq = F.col(k).eqNullSafe(F.col(f"_s_{k}"))
-        condition = eq if condition is None else condition & eq
-    return df.join(renamed, condition, "left").drop(*[f"_s_{k}" for k in keys + [_CHUNK]])
+    """Bring chunk summaries back to the rows of their chunk.
+
+    Plain equality, so the rows keep the partitioning of the chunk window.
+    """
+    return df.join(summary, [*keys, _CHUNK], "left")
 
 
 def number_rows(
@@ -66,11 +65,11 @@ def number_rows(
         .select(*keys, _CHUNK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
     inside = W.partitionBy(*keys, _CHUNK).orderBy(*order)
-    numbered = df.withColumn("_i", F.row_number().over(inside))
+    numbered = df.withColumn("_in_chunk", F.row_number().over(inside))
     return (
         _join_chunks(numbered, offsets, keys)
-        .withColumn(out, F.col("_before") + F.col("_i"))
-        .drop("_before", "_i", _CHUNK)
+        .withColumn(out, F.coalesce("_before", F.lit(0)) + F.col("_in_chunk"))
+        .drop("_before", "_in_chunk", _CHUNK)
     )
 
 
@@ -100,34 +99,45 @@ def running_sum(
     return out.drop(_CHUNK, *[f"_i_{v}" for v in values], *[f"_o_{v}" for v in values])
 
 
-def neighbour_value(
-    df: DataFrame, keys: list[str], order: str, value: str, out: str, ahead: bool = True
+def neighbour_values(
+    df: DataFrame, keys: list[str], order: str, ahead: dict[str, str], behind: dict[str, str]
 ) -> DataFrame:
-    """``lead(value, 1)`` (or ``lag``) per key in ``order``, by chunk.
+    """``lead(c, 1)`` for ``ahead`` and ``lag(c, 1)`` for ``behind``, by chunk.
 
-    A chunk's first (last) row is carried to the chunk before (after) it.
+    Both map input column to output column.  A chunk's first row is carried to
+    the chunk before it and its last row to the chunk after it.
     """
-    shift = F.lead if ahead else F.lag
-    pick = F.min if ahead else F.max
     inside = W.partitionBy(*keys, _CHUNK).orderBy(order)
     across = W.partitionBy(*keys).orderBy(_CHUNK)
-    here = F.struct(F.col(order).alias("o"), F.col(value).alias("v"))
+    sides = [("_next", F.lead, F.min, ahead), ("_last", F.lag, F.max, behind)]
+    sides = [side for side in sides if side[3]]
+
+    def row(columns: dict[str, str]) -> Column:
+        return F.struct(F.col(order).alias("_at"), *[F.col(c) for c in columns if c != order])
+
     edges = (
         df.groupBy(*keys, _CHUNK)
-        .agg(pick(here).alias("_edge"))
-        .select(*keys, _CHUNK, shift("_edge", 1).over(across).alias("_next_edge"))
+        .agg(*[pick(row(cols)).alias(name) for name, _, pick, cols in sides])
+        .select(
+            *keys,
+            _CHUNK,
+            *[shift(name, 1).over(across).alias(f"{name}_edge") for name, shift, _, _ in sides],
+        )
     )
-    shifted = df.withColumn("_near", shift(here, 1).over(inside))
-    return (
-        _join_chunks(shifted, edges, keys)
-        .withColumn(out, F.coalesce("_near", "_next_edge")["v"])
-        .drop("_near", "_next_edge", _CHUNK)
+    shifted = df.select(
+        "*", *[shift(row(cols), 1).over(inside).alias(name) for name, shift, _, cols in sides]
     )
+    out = _join_chunks(shifted, edges, keys)
+    for name, _, _, cols in sides:
+        near = F.coalesce(name, f"{name}_edge")
+        for column, alias in cols.items():
+            out = out.withColumn(alias, near["_at" if column == order else column])
+    return out.drop(_CHUNK, *[n for name, *_ in sides for n in (name, f"{name}_edge")])
 
 
 def next_value(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
     """``lead(order, 1) over (partition by keys order by order)`` by chunk."""
-    return neighbour_value(df, keys, order, order, out)
+    return neighbour_values(df, keys, order, {order: out}, {})
 
 
 def interpolated_percentile(df: DataFrame, column: str, p: float) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.timing import midnight, rounded_minutes, whole_minutes
-from ..operators.ranking import neighbour_value, next_value, time_chunk
+from ..operators.ranking import neighbour_values, time_chunk
 from ..session import prepare
 
 WINDOW_DAYS = 365
@@ -156,10 +156,9 @@ def event_rows(t: Tables) -> DataFrame:
 
 def transfers(t: Tables) -> DataFrame:
     """Each event is a move into a unit until the user's next event."""
-    rows = event_rows(t)
-    led = next_value(time_chunk(rows, "ts", "day"), ["subject_id"], "ts", "out_time")
-    both = neighbour_value(
-        time_chunk(led, "ts", "day"), ["subject_id"], "ts", "event_type", "prev_unit", ahead=False
+    rows = time_chunk(event_rows(t), "ts", "day")
+    both = neighbour_values(
+        rows, ["subject_id"], "ts", {"ts": "out_time"}, {"event_type": "prev_unit"}
     )
     return both.select(
         "subject_id",
