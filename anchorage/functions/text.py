@@ -152,15 +152,17 @@ def clean_label(
     Null and empty labels give null, so callers can drop them.
     """
     label = _col(label)
-    lookup = abbreviation_lookup(table, ignore_case)
-    pairs = [F.lit(x) for kv in lookup.items() for x in kv]
-    mapping = F.create_map(*pairs)
+    by_length: dict[int, list[Column]] = {}
+    for key, value in abbreviation_lookup(table, ignore_case).items():
+        by_length.setdefault(len(key), []).extend([F.lit(key), F.lit(value)])
 
     def expand(token: Column) -> Column:
+        # a literal map is searched key by key: only try keys of this length
         key = F.lower(token) if ignore_case else token
-        # longest key is short: most tokens skip the map
-        short = F.length(token) <= max(map(len, lookup))
-        return F.when(short, F.coalesce(mapping[key], token)).otherwise(token)
+        found = F.lit(None).cast("string")
+        for length, pairs in by_length.items():
+            found = F.when(F.length(token) == length, F.create_map(*pairs)[key]).otherwise(found)
+        return F.coalesce(found, token)
 
     expanded = F.array_join(F.transform(F.split(label, " "), expand), " ")
     cleaned = F.lower(symbols_to_space(expanded, LABEL_SYMBOLS, LABEL_DELETED))

@@ -150,7 +150,7 @@ def feature_index(items: DataFrame) -> DataFrame:
 
 def vector_struct(entries: Column, size: Column) -> Column:
     """Stored layout of a sparse vector from an array of (idx, weight)."""
-    ordered = F.array_sort(entries)
+    ordered = F.sort_array(entries)
     return F.struct(
         F.lit(0).cast("tinyint").alias("type"),
         size.cast("int").alias("size"),
@@ -159,23 +159,26 @@ def vector_struct(entries: Column, size: Column) -> Column:
     )
 
 
-def bag_vectors(
+def vector_rows(
     weights: DataFrame, index: DataFrame, spine: DataFrame, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One sparse ``features`` vector per spine row, staged for ML.
+    """One sparse ``features`` struct per spine row, empty rows included.
 
     ``weights`` holds (subject_id, item_id, weight).  A row never exceeds the
-    number of features.  The staged parquet table is read back with the
-    vector type, so no Python code builds vectors.
+    number of features.
     """
     size = index.select(F.count(F.lit(1))).scalar()
     rows = (
         weights.join(index, "item_id")
         .groupBy("subject_id")
-        .agg(F.collect_list(F.struct("idx", F.col("weight").cast("double").alias("weight"))).alias("entries"))
+        .agg(
+            F.collect_list(
+                F.struct("idx", F.col("weight").cast("double").alias("weight"))
+            ).alias("entries")
+        )
     )
     empty = F.array().cast("array<struct<idx:int,weight:double>>")
-    table = (
+    return (
         spine.select("subject_id", *keep)
         .join(rows, "subject_id", "left")
         .withColumn("size", size)
@@ -185,6 +188,16 @@ def bag_vectors(
             vector_struct(F.coalesce("entries", empty), F.col("size")).alias("features"),
         )
     )
+
+
+def bag_vectors(
+    weights: DataFrame, index: DataFrame, spine: DataFrame, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``vector_rows`` staged and read back with the ML vector type.
+
+    The stored layout is that of a vector, so no Python code builds any.
+    """
+    table = vector_rows(weights, index, spine, keep)
     fields = [f for f in table.schema.fields if f.name != "features"]
     schema = T.StructType(fields + [T.StructField("features", VectorUDT())])
     return stage(table, "vectors", schema)

@@ -16,6 +16,7 @@ from ..functions.text import (
     whitespace_tokens,
     words,
 )
+from ..session import stage
 
 DISTANCE = 2
 # Words up to this length are matched by deletions, longer ones by segments.
@@ -270,11 +271,14 @@ def consolidate_corrected(
     """Clean, spell-correct and consolidate the items of the older system.
 
     Gives (item_id, cleaned, label, canonical_id); the unique list is where
-    item_id equals canonical_id.
+    item_id equals canonical_id.  Cleaned and corrected labels are stage
+    tables, as each is read twice.
     """
-    cleaned = cleaned_items(items)
+    cleaned = stage(cleaned_items(items), "cleaned")
     observed = token_counts(cleaned, "label").select("word")
-    corrected = replace_tokens(cleaned, correct_spelling(observed, medical, general, k))
+    corrected = stage(
+        replace_tokens(cleaned, correct_spelling(observed, medical, general, k)), "corrected"
+    )
     original = cleaned.select(
         F.col("item_id").cast("string").alias("item_id"), F.col("label").alias("cleaned")
     )
@@ -286,7 +290,7 @@ def consolidate_clean(items: DataFrame) -> DataFrame:
     spaced = cleaned_items(items).withColumn(
         "label", F.array_join(whitespace_tokens("label"), " ")
     )
-    return canonical_items(spaced).withColumn("cleaned", F.col("label"))
+    return canonical_items(stage(spaced, "cleaned")).withColumn("cleaned", F.col("label"))
 
 
 def unique_items(consolidated: DataFrame) -> DataFrame:

@@ -58,17 +58,14 @@ def score_appended(t: Tables) -> DataFrame:
 def bag_vectors(t: Tables) -> DataFrame:
     """Sparse count vectors per subject, shown by their size and sums."""
     b = stage(roles.order_bag(t), "bag")
-    vectors = bag.bag_vectors(
+    rows = bag.vector_rows(
         b.withColumnRenamed("cnt", "weight"), bag.feature_index(b), bag.subject_spine(b)
     )
-    from pyspark.ml.functions import vector_to_array
-
-    dense = vector_to_array("features")
-    return vectors.select(
+    return rows.select(
         "subject_id",
-        F.aggregate(dense, F.lit(0.0), lambda a, x: a + x).alias("total"),
-        F.size(F.filter(dense, lambda x: x != 0)).alias("nonzero"),
-        F.size(dense).alias("width"),
+        F.aggregate("features.values", F.lit(0.0), lambda a, x: a + x).alias("total"),
+        F.size("features.indices").alias("nonzero"),
+        F.col("features.size").alias("width"),
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.timing import midnight, rounded_minutes, whole_minutes
 from ..operators.ranking import neighbour_values, time_chunk
-from ..session import prepare
+from ..session import prepare, spread
 
 WINDOW_DAYS = 365
 INFO = WINDOW_DAYS * 1440
@@ -34,6 +34,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self) -> DataFrame:
+        """Documents, spread over the cores for work on whole texts."""
+        return spread(self.documents, "doc_id")
+
 
 # --- orders world -----------------------------------------------------------
 

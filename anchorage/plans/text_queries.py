@@ -16,7 +16,7 @@ EXCLUDED = ("the", "of", "and", "to", "in", "is", "for", "that", "with", "as")
 
 
 def _labels(t: Tables) -> DataFrame:
-    return t.documents.select(F.col("doc_id").alias("item_id"), F.col("text").alias("label"), "lang")
+    return t.texts().select(F.col("doc_id").alias("item_id"), F.col("text").alias("label"), "lang")
 
 
 def clean_text(t: Tables) -> DataFrame:
@@ -44,11 +44,11 @@ def normalised_values(t: Tables) -> DataFrame:
 
 
 def token_counts(t: Tables) -> DataFrame:
-    return vocabulary.token_counts(t.documents)
+    return vocabulary.token_counts(t.texts())
 
 
 def piece_counts(t: Tables) -> DataFrame:
-    return vocabulary.piece_counts(t.documents)
+    return vocabulary.piece_counts(t.texts())
 
 
 def _medical(t: Tables) -> DataFrame:
@@ -60,7 +60,7 @@ def vocabulary_union(t: Tables) -> DataFrame:
         [
             vocabulary.source_words(t.benchmark, "text"),
             vocabulary.source_words(t.part, "p_name", "item"),
-            vocabulary.source_words(t.documents, "text", "code"),
+            vocabulary.source_words(t.texts(), "text", "code"),
             vocabulary.source_words(t.nation, "n_name", "plain"),
         ]
     )
@@ -68,7 +68,7 @@ def vocabulary_union(t: Tables) -> DataFrame:
 
 def spell_correct(t: Tables) -> DataFrame:
     """Corrected form of every word of the documents."""
-    observed = vocabulary.token_counts(t.documents).select("word")
+    observed = vocabulary.token_counts(t.texts()).select("word")
     general = vocabulary.token_counts(t.part, "p_name").select("word")
     return vocabulary.correct_spelling(observed, _medical(t), general)
 
@@ -154,7 +154,7 @@ def _dictionary(t: Tables) -> DataFrame:
 
 def _spans(t: Tables) -> DataFrame:
     excluded = t.spark.createDataFrame([(w,) for w in EXCLUDED], "word string")
-    return concepts.annotate(t.documents.select("doc_id", "text"), _dictionary(t), excluded)
+    return concepts.annotate(t.texts().select("doc_id", "text"), _dictionary(t), excluded)
 
 
 def concept_annotate(t: Tables) -> DataFrame:
@@ -259,16 +259,20 @@ def _distinct_words(table: str, column: str, least: int = 2) -> str:
     return f"SELECT DISTINCT unnest({sql_words(column, least)}) AS word FROM {table}"
 
 
+# DuckDB counts edits in bytes: give the accented letters one byte each (the
+# words are lower case, so capitals are free).
+_DISTANCE = "levenshtein({0}, {1})".format(
+    *[f"translate({c}, 'ßäçèéêíñóöü', 'ABCDEFGHIJK')" for c in ("u.word", "m.word")]
+)
 _SPELLING = {
     "med": _distinct_words("benchmark", "text"),
     "gen": _distinct_words("part", "p_name"),
     "seen": _distinct_words("documents", "text"),
     "unknown": """SELECT word FROM seen WHERE word NOT IN (SELECT word FROM med)
         AND word NOT IN (SELECT word FROM gen)""",
-    "best": """SELECT u.word, min({'d': levenshtein(u.word, m.word), 'w': m.word}) AS b
+    "best": f"""SELECT u.word, min({{'d': {_DISTANCE}, 'w': m.word}}) AS b
         FROM unknown u JOIN med m ON abs(length(u.word) - length(m.word)) <= 2
-        WHERE levenshtein(u.word, m.word) <= 2 AND levenshtein(u.word, m.word) < length(u.word)
-        GROUP BY u.word""",
+        WHERE {_DISTANCE} <= 2 AND {_DISTANCE} < length(u.word) GROUP BY u.word""",
 }
 
 _CONSOLIDATED = {

@@ -25,6 +25,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a small scan over all cores before heavy work on each row.
+
+    A scan that already has a partition per core, as any large table has, is
+    left alone and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def stage_dir(spark: SparkSession) -> str:
     """Shared folder for stage tables, as the session names it.
 

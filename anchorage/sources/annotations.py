@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.keys import document_item_id
+from ..session import stage
 
 # Element and attribute names of the annotation format.
 ARRAY_ELEMENT = "uima.cas.FSArray"
@@ -28,10 +29,11 @@ def concept_spans(documents: DataFrame) -> DataFrame:
     """Distinct (doc_id, concept_id, begin, end) of each document.
 
     A concept belongs to an array by its id, and an annotated element points
-    to the array; both links are equality joins within the document.
+    to the array; both links are equality joins within the document.  Every
+    document is parsed once, into a stage table of its linked elements.
     """
     options = {"attributePrefix": "@", "rowTag": "CAS"}
-    parsed = documents.select(
+    links = documents.select(
         "doc_id",
         F.from_xml("xml", _LINKS, options).alias("links"),
         *[
@@ -39,15 +41,24 @@ def concept_spans(documents: DataFrame) -> DataFrame:
             for a, n in (("begin", "b"), ("end", "e"), (REFERENCE, "r"))
         ],
     )
-    concepts = parsed.select(
-        "doc_id", F.explode(F.col(f"links.`{CONCEPT_ELEMENT}`")).alias("c")
-    ).select("doc_id", F.col("c.`@_id`").alias("id"), F.col("c.`@cui`").alias("concept_id"))
+    parsed = stage(
+        links.select(
+            "doc_id",
+            F.col(f"links.`{CONCEPT_ELEMENT}`").alias("concepts"),
+            F.col(f"links.`{ARRAY_ELEMENT}`").alias("arrays"),
+            F.arrays_zip("b", "e", "r").alias("spans"),
+        ),
+        "parsed",
+    )
+    concepts = parsed.select("doc_id", F.explode("concepts").alias("c")).select(
+        "doc_id", F.col("c.`@_id`").alias("id"), F.col("c.`@cui`").alias("concept_id")
+    )
     members = (
-        parsed.select("doc_id", F.explode(F.col(f"links.`{ARRAY_ELEMENT}`")).alias("a"))
+        parsed.select("doc_id", F.explode("arrays").alias("a"))
         .select("doc_id", F.col("a.`@_id`").alias("ref"), F.explode("a.i").alias("id"))
         .distinct()
     )
-    spans = parsed.select("doc_id", F.explode(F.arrays_zip("b", "e", "r")).alias("s")).select(
+    spans = parsed.select("doc_id", F.explode("spans").alias("s")).select(
         "doc_id",
         F.col("s.r").alias("ref"),
         F.col("s.b").cast("int").alias("begin"),
