@@ -152,8 +152,9 @@ def clean_label(
     Null and empty labels give null, so callers can drop them.
     """
     label = _col(label)
+    lookup = abbreviation_lookup(table, ignore_case)
     by_length: dict[int, list[Column]] = {}
-    for key, value in abbreviation_lookup(table, ignore_case).items():
+    for key, value in lookup.items():
         by_length.setdefault(len(key), []).extend([F.lit(key), F.lit(value)])
 
     def expand(token: Column) -> Column:
@@ -164,7 +165,13 @@ def clean_label(
             found = F.when(F.length(token) == length, F.create_map(*pairs)[key]).otherwise(found)
         return F.coalesce(found, token)
 
-    expanded = F.array_join(F.transform(F.split(label, " "), expand), " ")
+    # most labels hold no abbreviation: one hashed test spares them the rest
+    keys = F.array(*[F.lit(k) for k in lookup])
+    sought = F.split(F.lower(label) if ignore_case else label, " ")
+    expanded = F.when(
+        F.arrays_overlap(sought, keys),
+        F.array_join(F.transform(F.split(label, " "), expand), " "),
+    ).otherwise(label)
     cleaned = F.lower(symbols_to_space(expanded, LABEL_SYMBOLS, LABEL_DELETED))
     return F.when(label != "", cleaned)
 

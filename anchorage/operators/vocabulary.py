@@ -260,8 +260,8 @@ def canonical_items(labels: DataFrame) -> DataFrame:
 
 def cleaned_items(items: DataFrame) -> DataFrame:
     """Items with a usable label, cleaned."""
-    return items.select("item_id", clean_label("label").alias("label")).filter(
-        F.col("label").isNotNull()
+    return items.filter(F.col("label") != "").select(
+        "item_id", clean_label("label").alias("label")
     )
 
 

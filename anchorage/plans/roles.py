@@ -32,7 +32,10 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # kept as an attribute, so a file's schema is read once
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        setattr(self, name, table)
+        return table
 
     def texts(self) -> DataFrame:
         """Documents, spread over the cores for work on whole texts."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
 from ..operators import concepts, vocabulary
-from ..session import stage
+from ..session import spread, stage
 from ..sources import annotations
 from . import roles
 from .roles import Tables, sql_words, with_roles
@@ -197,7 +197,7 @@ def xml_spans(t: Tables) -> DataFrame:
         )
 
     xml = F.concat(F.lit("<CAS>"), F.array_join(F.transform(found, element), ""), F.lit("</CAS>"))
-    docs = t.part.select(F.col("p_partkey").alias("doc_id"), xml.alias("xml"))
+    docs = spread(t.part, "p_partkey").select(F.col("p_partkey").alias("doc_id"), xml.alias("xml"))
     return annotations.concept_spans(docs)
 
 
