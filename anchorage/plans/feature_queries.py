@@ -115,7 +115,7 @@ def bootstrap_auc_ci(t: Tables) -> DataFrame:
 
 def class_weights(t: Tables) -> DataFrame:
     weighted = model.with_class_weights(_labelled(t))
-    return weighted.select("subject_id", F.round("weight", 9).alias("weight"), "target")
+    return weighted.select("subject_id", F.round("weight", 9).alias("weight"))
 
 
 def lr_grid_search(t: Tables) -> DataFrame:
@@ -304,8 +304,8 @@ ORACLES = {
     "class_weights": with_roles(
         ("order_profile",),
         """SELECT subject_id, round((SELECT count(*) FROM labelled)
-             / (2.0 * count(*) OVER (PARTITION BY label)), 9) AS weight,
-             CASE WHEN label > 0 THEN 1.0 ELSE 0.0 END AS target FROM labelled""",
+             / (2.0 * count(*) OVER (PARTITION BY label)), 9) AS weight
+             FROM labelled""",
         labelled=_LABELLED,
     ),
 }
