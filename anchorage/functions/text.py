@@ -199,9 +199,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _starts(lengths: Column) -> Column:
-    """Exclusive running sum of an integer array."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+def _starts(lengths: Column, base: Column) -> Column:
+    """Exclusive running sum of an integer array, counted from ``base``."""
+    zero = F.struct(base.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
     return F.aggregate(
         lengths,
         zero,
@@ -212,38 +212,57 @@ def _starts(lengths: Column) -> Column:
     )
 
 
-def located_words(text: Column | str, block: int = 128) -> Column:
-    """Array of (word, begin, end): words with 0-based character offsets.
+def _blocked_starts(lengths: Column, base: Column, block: int) -> Column:
+    """``_starts`` over blocks first and inside each block then.
 
-    The text is cut into alternating word / non-word pieces.  Offsets are a
-    two-level running sum, first over blocks of pieces and then inside each
-    block, so the cost stays near-linear for very long texts.
+    Appending copies the array built so far; short blocks keep that small.
     """
-    pieces = F.regexp_extract_all(
-        _col(text), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0)
-    )
 
-    def cut(all_pieces: Column) -> Column:
-        n_blocks = F.ceil(F.size(all_pieces) / block).cast("int")
+    def cut(all_lengths: Column) -> Column:
+        n_blocks = F.ceil(F.size(all_lengths) / block).cast("int")
         return F.transform(
             F.filter(F.sequence(F.lit(0), n_blocks), lambda b: b < n_blocks),
-            lambda b: F.slice(all_pieces, b * block + 1, F.lit(block)),
+            lambda b: F.slice(all_lengths, b * block + 1, F.lit(block)),
         )
 
-    def locate(blocks: Column) -> Column:
-        starts = _starts(F.transform(blocks, lambda b: F.length(F.array_join(b, ""))))
-        return F.flatten(F.zip_with(blocks, starts, locate_block))
+    def place(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda x, n: x + n))
+        return F.flatten(F.zip_with(blocks, _starts(sums, base), _starts))
+
+    return let(let(lengths, cut), place)
+
+
+def located_words(text: Column | str, block: int = 64, lower: bool = False) -> Column:
+    """Array of (word, begin, end): words with 0-based character offsets.
 
-    def locate_block(block_pieces: Column, base: Column) -> Column:
+    Words and the gaps between them alternate, so a word begins where the
+    lengths of the words and gaps before it add up to.
+    """
+    text = _col(text)
+    found = F.struct(
+        F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("words"),
+        F.regexp_extract_all(text, F.lit(r"[^\p{L}\p{N}_]+"), F.lit(0)).alias("gaps"),
+        text.rlike(r"^[^\p{L}\p{N}_]").alias("indented"),
+    )
+
+    def locate(a: Column) -> Column:
+        indent = F.when(a["indented"], F.length(F.get(a["gaps"], F.lit(0)))).otherwise(0)
+        after = F.when(
+            a["indented"], F.slice(a["gaps"], F.lit(2), F.size(a["gaps"]))
+        ).otherwise(a["gaps"])
+        steps = F.zip_with(
+            a["words"],
+            after,
+            lambda w, g: F.coalesce(F.length(w), F.lit(0)) + F.coalesce(F.length(g), F.lit(0)),
+        )
         return F.zip_with(
-            block_pieces,
-            _starts(F.transform(block_pieces, F.length)),
-            lambda p, o: F.struct(
-                p.alias("word"),
-                (base + o).alias("begin"),
-                (base + o + F.length(p)).alias("end"),
+            a["words"],
+            _blocked_starts(steps, indent, block),
+            lambda w, at: F.struct(
+                (F.lower(w) if lower else w).alias("word"),
+                at.alias("begin"),
+                (at + F.length(w)).alias("end"),
             ),
         )
 
-    located = let(let(pieces, cut), locate)
-    return F.filter(located, lambda s: s["word"].rlike(r"^[\p{L}\p{N}_]"))
+    return F.filter(let(found, locate), lambda s: s["word"].isNotNull())

@@ -21,6 +21,9 @@ from ..session import stage
 DISTANCE = 2
 # Words up to this length are matched by deletions, longer ones by segments.
 DELETION_LENGTH = 24
+# A vocabulary of up to this many words is broadcast: with at most 352 keys of
+# at most 26 characters per word its keys stay below 60 MB.
+BROADCAST_WORDS = 2000
 
 
 def token_counts(texts: DataFrame, column: str = "text") -> DataFrame:
@@ -139,15 +142,20 @@ def candidate_pairs(
     segments, at least one of which ``k`` edits leave whole, so the number of
     keys per word does not grow with its length.  Both routes are equality
     joins that find all pairs; the distance is then checked exactly.
+
+    Keys outgrow the words they come from, which the planner does not see, so
+    the join is chosen here by the counted size of the vocabulary.
     """
     w, v = unknown.select("word").distinct(), vocabulary.select(F.col("word").alias("match"))
+    small = v.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    how = "broadcast" if small else "merge"
     by_deletion = (
         w.filter(F.length("word") <= cut)
         .select("word", F.explode(_deletions(F.col("word"), k)).alias("key"))
         .join(
             v.filter(F.length("match") <= cut + k).select(
                 "match", F.explode(_deletions(F.col("match"), k)).alias("key")
-            ),
+            ).hint(how),
             "key",
         )
         .select("word", "match")
@@ -158,7 +166,7 @@ def candidate_pairs(
         .join(
             v.filter(F.length("match") > cut - k).select(
                 "match", F.explode(_segments(F.col("match"), F.length("match"), k + 1)).alias("key")
-            ),
+            ).hint("merge"),
             "key",
         )
         .select("word", "match")

@@ -109,15 +109,16 @@ def order_events(t: Tables) -> DataFrame:
     """(subject_id, item_id, min_from_anchor) in the window of the anchor."""
     from ..operators.extract import in_window
 
-    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_shipdate").join(
-        t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
-    )
     anchor = t.orders.groupBy(F.col("o_custkey").alias("subject_id")).agg(
         F.min("o_orderdate").alias("anchor_time")
     )
+    # the orders get their anchor first, so the line items move only once
+    orders = t.orders.select("o_orderkey", F.col("o_custkey").alias("subject_id")).join(
+        anchor, "subject_id"
+    )
     return (
-        lines.withColumnRenamed("o_custkey", "subject_id")
-        .join(anchor, "subject_id")
+        t.lineitem.select("l_orderkey", "l_partkey", "l_shipdate")
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .filter(in_window("l_shipdate", 0, WINDOW_DAYS))
         .select(
             "subject_id",
