@@ -187,6 +187,30 @@ def extract_all(
     }
 
 
+# Column names of event extracts -> canonical names.
+EXTRACT_NAMES = {
+    "itemid": "item_id",
+    "id": "item_id",
+    "min_icuin_to_chart": "min_from_anchor",
+    "min_icuin_to_start": "min_from_anchor",
+    "days_from_icuin": "days_from_anchor",
+}
+
+
+def harmonise_extract(extract: DataFrame) -> DataFrame:
+    """Event extract of any source with canonical columns.
+
+    Where values were turned into items, ``itemid_ind`` is the item.
+    """
+    if "itemid_ind" in extract.columns:
+        extract = extract.drop("itemid").withColumnRenamed("itemid_ind", "itemid")
+    renamed = extract.withColumnsRenamed(
+        {old: new for old, new in EXTRACT_NAMES.items() if old in extract.columns}
+    ).withColumn("item_id", F.col("item_id").cast("string"))
+    wanted = ("subject_id", "item_id", "min_from_anchor", "days_from_anchor")
+    return renamed.select(*[c for c in wanted if c in renamed.columns])
+
+
 def unite_events(frames: Iterable[DataFrame]) -> DataFrame:
     """Distinct (subject, item, offset) rows of timed and dated sources.
 

@@ -104,13 +104,13 @@ def auc_by_item(t: Tables) -> DataFrame:
 
 
 def bootstrap_aucs(t: Tables) -> DataFrame:
-    aucs = evaluate.bootstrap_aucs(_scored(t), 100, SEED)
+    aucs = evaluate.bootstrap_aucs(_scored(t), 1000, SEED)
     return aucs.withColumn("auc", F.round("auc", 9))
 
 
 def bootstrap_auc_ci(t: Tables) -> DataFrame:
-    ci = evaluate.bootstrap_interval(_scored(t), 100, SEED)
-    return ci.select(F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"), "replicates")
+    ci = evaluate.bootstrap_interval(_scored(t), 1000, SEED)
+    return ci.select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "replicates")
 
 
 def class_weights(t: Tables) -> DataFrame:
@@ -136,7 +136,7 @@ def single_system_eval(t: Tables) -> DataFrame:
 
 
 def cross_system_eval(t: Tables) -> DataFrame:
-    run = Experiment(system="carevue", intersection=True, gaps=(0,), replicates=100)
+    run = Experiment(system="carevue", intersection=True, gaps=(0,))
     return run_cross_system(run, _inputs(t))["metrics"]
 
 
@@ -224,7 +224,7 @@ _BOOT = {
         FROM (SELECT subject_id, severity AS score, CASE WHEN label > 0 THEN 1 ELSE 0 END AS cls
               FROM labelled)""",
     "draws": f"""SELECT rep, cls, CAST('0x' || substr(md5('{SEED}:' || rep || ':' || cls || ':'
-          || slot), 1, 13) AS BIGINT) % n + 1 AS slot FROM slotted, range(100) r(rep)""",
+          || slot), 1, 13) AS BIGINT) % n + 1 AS slot FROM slotted, range(1000) r(rep)""",
     "drawn": """SELECT rep, s.score, d.cls AS label FROM draws d
         JOIN slotted s ON s.cls = d.cls AND s.slot = d.slot""",
     "aucs": _auc_sql("drawn", "rep"),
@@ -297,7 +297,7 @@ ORACLES = {
     "bootstrap_aucs": with_roles(("order_profile",), "SELECT CAST(rep AS INTEGER) AS rep, auc FROM aucs", **_BOOT),
     "bootstrap_auc_ci": with_roles(
         ("order_profile",),
-        """SELECT round(quantile_cont(auc, 0.025), 9) AS lo, round(quantile_cont(auc, 0.975), 9) AS hi,
+        """SELECT round(quantile_cont(auc, 0.025), 6) AS lo, round(quantile_cont(auc, 0.975), 6) AS hi,
              count(*) AS replicates FROM aucs""",
         **_BOOT,
     ),

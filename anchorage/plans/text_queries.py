@@ -261,18 +261,18 @@ def _distinct_words(table: str, column: str, least: int = 2) -> str:
 
 # DuckDB counts edits in bytes: give the accented letters one byte each (the
 # words are lower case, so capitals are free).
-_DISTANCE = "levenshtein({0}, {1})".format(
-    *[f"translate({c}, 'ßäçèéêíñóöü', 'ABCDEFGHIJK')" for c in ("u.word", "m.word")]
-)
+_ONE_BYTE = "translate(word, 'ßäçèéêíñóöü', 'ABCDEFGHIJK') AS b"
 _SPELLING = {
     "med": _distinct_words("benchmark", "text"),
     "gen": _distinct_words("part", "p_name"),
     "seen": _distinct_words("documents", "text"),
-    "unknown": """SELECT word FROM seen WHERE word NOT IN (SELECT word FROM med)
-        AND word NOT IN (SELECT word FROM gen)""",
-    "best": f"""SELECT u.word, min({{'d': {_DISTANCE}, 'w': m.word}}) AS b
-        FROM unknown u JOIN med m ON abs(length(u.word) - length(m.word)) <= 2
-        WHERE {_DISTANCE} <= 2 AND {_DISTANCE} < length(u.word) GROUP BY u.word""",
+    "unknown": f"""SELECT word, {_ONE_BYTE}, length(word) AS n FROM seen
+        WHERE word NOT IN (SELECT word FROM med) AND word NOT IN (SELECT word FROM gen)""",
+    "target": f"SELECT word, {_ONE_BYTE}, length(word) AS n FROM med",
+    "near": """SELECT u.word, u.n, m.word AS w, levenshtein(u.b, m.b) AS d
+        FROM unknown u JOIN target m ON m.n BETWEEN u.n - 2 AND u.n + 2""",
+    "best": """SELECT word, min({'d': d, 'w': w}) AS b FROM near
+        WHERE d <= 2 AND d < n GROUP BY word""",
 }
 
 _CONSOLIDATED = {
