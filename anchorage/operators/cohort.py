@@ -153,14 +153,14 @@ def first_stays(
         .select("subject_id", "admission_id", *[F.col(f"s.{c}").alias(c) for c in s_cols])
     )
     timed = with_stay_times(first_stay, first_admission.join(patients, "subject_id"))
-    units = dominant_unit(transfers, stays, by=by).select(
-        "stay_id", F.col("unit").alias("early_unit")
-    )
     eligible = timed.filter(
         (F.col("age") >= min_age)
         & (F.col("min_in_unit") > min_minutes)
         & ((F.col("min_in_to_death") > min_minutes) | F.col("dod").isNull())
     )
+    units = dominant_unit(transfers, eligible, by=by).select(
+        "stay_id", F.col("unit").alias("early_unit")
+    )
     return eligible.join(units, "stay_id")
 
 

@@ -93,8 +93,8 @@ def auc_by_unit(t: Tables) -> DataFrame:
     return evaluate.roc_auc(_scored(t), ["unit", "system"]).withColumn("auc", F.round("auc", 9))
 
 
-def auc_by_item(t: Tables) -> DataFrame:
-    """How well each part's ordered quantity tells returned line items."""
+def auc_by_supplier(t: Tables) -> DataFrame:
+    """How well quantity tells returned line items, per supplier."""
     lines = t.lineitem.select(
         "l_suppkey",
         F.col("l_quantity").alias("score"),
@@ -165,7 +165,7 @@ QUERIES = {
         stratified_holdout,
         auc_score,
         auc_by_unit,
-        auc_by_item,
+        auc_by_supplier,
         bootstrap_aucs,
         bootstrap_auc_ci,
         class_weights,
@@ -288,7 +288,7 @@ ORACLES = {
         labelled=_LABELLED,
         scored="SELECT unit, system, label, severity AS score FROM labelled",
     ),
-    "auc_by_item": with_roles(
+    "auc_by_supplier": with_roles(
         (),
         _auc_sql("scored", "l_suppkey"),
         scored="""SELECT l_suppkey, l_quantity AS score,
