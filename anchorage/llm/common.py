@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from anchorage.session import prepare, stage
 
-__all__ = ["WORD", "ranked", "read", "row_slices", "stage", "strings", "text_of"]
+__all__ = ["WORD", "ranked", "read", "ready", "row_slices", "stage", "strings", "text_of"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,8 +22,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_CHARS = 2_000_000
 
 
+_shipped: set[str] = set()
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Set the session up and hand the package to its Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).parents[1]
+        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name)
+        context.addPyFile(archive)  # served by the driver
+        _shipped.add(context.applicationId)
+    return prepare(spark)
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{folder}/{table}.parquet")
+    return ready(spark).read.parquet(f"{folder}/{table}.parquet")
 
 
 def text_of(column: str = "text") -> Column:

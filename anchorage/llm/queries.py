@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, sharding
-from .common import read
+from . import grammar, mixing, packing, sharding
+from .common import WORD, read
 
 SEQUENCE = 2048
 
@@ -16,6 +16,19 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_repair_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return grammar.round_trip(read(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), 1).select(
+        "doc_id", "start", "n_tokens", "ids_crc32"
+    )
+
+
+def op2_splitting_tree_mix(spark: SparkSession, folder: str) -> DataFrame:
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["words"])
+    return mixing.plan(read(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", "target", taken.alias("taken")
+    )
+
+
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), 0, SEQUENCE)
 
@@ -33,8 +46,44 @@ def op6_differencing_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_repair_token_files": op1_repair_token_files,
+    "op2_splitting_tree_mix": op2_splitting_tree_mix,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_differencing_shards": op6_differencing_shards,
 }
 
-ORACLES: dict[str, str] = {}
+#: The mix in plain SQL: targets by running sums, words by a document's place in its permuted source.
+MIX_SQL = f"""
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
+           ('0x' || substr(md5('mixing:' || doc_id), 1, 15))::BIGINT AS place
+    FROM documents
+), each AS (
+    SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighed AS (
+    SELECT source, source_size, 3 * source_size AS cap,
+           (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+    FROM each
+), levels AS (
+    SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+              / (sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST
+                   ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level,
+           row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS turn
+    FROM weighed
+), goals AS (
+    SELECT source, source_size, least(cap::DOUBLE, coalesce(weight * (SELECT arg_min(level, turn) FROM levels
+           WHERE cap > level * weight), cap::DOUBLE)) AS target, cap
+    FROM levels
+), laid AS (
+    SELECT doc_id, size, source_size, target, least(cap, floor(target + 0.5)::BIGINT) AS quota,
+           sum(size) OVER (PARTITION BY s.source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS first
+    FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(size, quota - first)) + greatest(0, least(size, quota - source_size - first))
+        + greatest(0, least(size, quota - 2 * source_size - first)))::BIGINT AS taken
+FROM laid
+"""
+
+ORACLES: dict[str, str] = {"op2_splitting_tree_mix": MIX_SQL}

@@ -32,6 +32,7 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        self.size = self._tokenizer.get_vocab_size()
         self._remembered = remembered
         self._known: dict[str, bytes] = {}
         self._spaced = self._plain(["a b"])[0] != b"".join(self._plain(["a", "b"]))
