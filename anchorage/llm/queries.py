@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import grammar, mixing, packing, sharding
-from .common import WORD, read
+from . import chat, grammar, merkle, mixing, packing, sharding
+from .common import WORD, read, stage
 
 SEQUENCE = 2048
 
@@ -45,11 +45,28 @@ def op6_differencing_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_schema_chat(spark: SparkSession, folder: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame(
+        [(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string"
+    )
+    rows = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    record = F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"})
+    formatted = stage(chat.render(chat.turns(rows.select(record.alias("record")))), "formatted")
+    return chat.digests(formatted)
+
+
+def op10_merkle_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.compare_edited(read(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_repair_token_files": op1_repair_token_files,
     "op2_splitting_tree_mix": op2_splitting_tree_mix,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_differencing_shards": op6_differencing_shards,
+    "op8_schema_chat": op8_schema_chat,
+    "op10_merkle_fingerprints": op10_merkle_fingerprints,
 }
 
 #: The mix in plain SQL: targets by running sums, words by a document's place in its permuted source.
