@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, grammar, merkle, mixing, packing, sharding
+from . import chat, grammar, merkle, mixing, packing, perplexity, sharding, toxicity
 from .common import WORD, read, stage
 
 SEQUENCE = 2048
@@ -29,6 +29,14 @@ def op2_splitting_tree_mix(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_convolutional_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    net = toxicity.train(docs, read(spark, folder, "labels"))
+    return toxicity.classify(docs, net).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "lang", "toxic"
+    )
+
+
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), 0, SEQUENCE)
 
@@ -56,6 +64,10 @@ def op8_schema_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(formatted)
 
 
+def op9_perplexity_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return perplexity.judge(read(spark, folder, "documents"))
+
+
 def op10_merkle_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.compare_edited(read(spark, folder, "documents"))
 
@@ -63,9 +75,11 @@ def op10_merkle_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_repair_token_files": op1_repair_token_files,
     "op2_splitting_tree_mix": op2_splitting_tree_mix,
+    "op4_convolutional_toxicity": op4_convolutional_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_differencing_shards": op6_differencing_shards,
     "op8_schema_chat": op8_schema_chat,
+    "op9_perplexity_rules": op9_perplexity_rules,
     "op10_merkle_fingerprints": op10_merkle_fingerprints,
 }
 
