@@ -1,17 +1,17 @@
 """Toxicity: a convolutional text classifier in numpy.
 
-Words are hashed twice, and the sum of both rows of an embedding table stands for
-a word.  Filters of widths 1, 2 and 3 run over the words of a whole text; each
-keeps its maximum, and a logistic layer turns the maxima into a score.  Words
-outside the buckets met in two training texts or more have the zero
-embedding, so chance words of a single text weigh nothing.
+A word and its beginnings of four to eight letters are hashed to 32 bits; the sum
+of their rows in an embedding table stands for the word, so inflected forms share
+a stem.  Filters of widths 1, 2 and 3 run over the words of a whole text; each
+keeps its maximum, and a logistic layer turns the maxima into a score.  Only hashes
+met in ``MET`` training texts or more have a row; the others add nothing.
 
 The classifier is fitted on a bounded sample of labelled rows: ``SAMPLE`` of each
 label at most, the first by a hash, of up to ``TRAIN_WORDS`` words each, once per
 distinct text.  Scores are shifted from the sample's share of toxic rows to that of
 all labelled rows.  Texts alone give the score.  Thresholds of the verdict are
-calibrated by language on rows set apart from fitting: the least score from 0.5
-on with a precision of ``PRECISION`` or more, and 0.5 where too few rows tell.
+calibrated by language on rows set apart from fitting: the least score from
+``LEAST`` on with a precision of ``PRECISION`` or more, and 0.5 where too few rows tell.
 
 A null text counts as empty and gets a score; so does any other row, alike for
 equal texts.  A null language has the common threshold.  Without labels of both
@@ -32,77 +32,96 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import row_slices, strings
 
-BUCKETS, WIDTHS, DIMENSIONS, FILTERS = 1 << 17, (1, 2, 3), 8, 8
+WIDTHS, DIMENSIONS, FILTERS = (1, 2, 3), 8, 8
+#: Lengths of the beginnings of a word that have rows of their own.
+STEMS = (4, 5, 6, 7, 8)
+PIECES = 1 + len(STEMS)
 #: Labelled rows of each label, and words of a text, that the fit may take.
 SAMPLE, TRAIN_WORDS = 3000, 4000
 STEPS, BATCH, RATE = 1500, 32, 0.03
-PRECISION, TELLING = 0.98, 10
+PRECISION, LEAST, TELLING = 0.9, 0.3, 10
+#: Distinct training texts that a hash must be met in to have a row.
+MET = 3
 
 SCORES = "doc_id long, lang string, score double"
 _WORDS = re.compile(r"\w+")
 
 
-class _Hashes(dict):
-    """Two buckets of a word in one number, remembered."""
+def words_of(text: str) -> list[str]:
+    return _WORDS.findall(text.lower())
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        raw = word.encode("utf-8", "surrogatepass")
-        self[word] = out = zlib.crc32(raw) % BUCKETS | (zlib.crc32(raw, 0x9E3779B9) % BUCKETS) << 32
-        return out
 
+def pieces_of(words: list[str]) -> np.ndarray:
+    """Hashes of each word and its beginnings; 0 where it is no longer than the beginning."""
+    flat = [
+        zlib.crc32(x.encode("utf-8", "surrogatepass")) if x else 0
+        for w in words
+        for x in (f"{w}$", *(w[:k] if len(w) > k else "" for k in STEMS))
+    ]
+    return np.array(flat, np.uint32).reshape(-1, PIECES)
 
-_hashes = _Hashes()
 
+class Rows:
+    """Rows of the embedding table for words, remembered; row 0 is zero and stands for unknown hashes."""
 
-def hashed(text: str) -> np.ndarray:
-    """Both buckets of each word: uint32 pairs."""
-    words = _WORDS.findall(text.lower())
-    both = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
-    return both.view(np.uint32).reshape(-1, 2)
+    def __init__(self, known: np.ndarray, remembered: int = 400_000):
+        self.known, self.remembered, self.seen = known, remembered, {}
+
+    def of_hashes(self, hashes: np.ndarray) -> np.ndarray:
+        if not self.known.size:
+            return np.zeros(hashes.shape, np.int32)
+        at = np.minimum(np.searchsorted(self.known, hashes), self.known.size - 1)
+        return np.where((self.known[at] == hashes) & (hashes != 0), at + 1, 0).astype(np.int32)
+
+    def of_texts(self, texts: list[str]) -> list[np.ndarray]:
+        words = [words_of(t) for t in texts]
+        needed = set().union(*words)
+        fresh = list(needed.difference(self.seen))
+        if len(self.seen) + len(fresh) > self.remembered:
+            self.seen = {w: self.seen[w] for w in needed.intersection(self.seen)}
+        for w, row in zip(fresh, self.of_hashes(pieces_of(fresh))):
+            self.seen[w] = row.tobytes()
+        return [np.frombuffer(b"".join(map(self.seen.__getitem__, w)), np.int32).reshape(-1, PIECES) for w in words]
 
 
 @dataclass
 class Network:
-    table: np.ndarray
-    known: np.ndarray
+    known: np.ndarray  # sorted hashes
+    table: np.ndarray  # a row of zeros, then one for each hash
     filters: list[np.ndarray]  # width x dimensions x filters
     bias: np.ndarray
     out: np.ndarray
     out_bias: float = 0.0
     shift: float = 0.0
     constant: float | None = None
-    thresholds: dict[str | None, float] = field(default_factory=dict)
+    thresholds: dict[str, float] = field(default_factory=dict)
 
     @classmethod
-    def fresh(cls, seed: int) -> Network:
+    def fresh(cls, known: np.ndarray, seed: int) -> Network:
         rng = np.random.default_rng(seed)
         n = FILTERS * len(WIDTHS)
+        table = rng.normal(0, 0.02, (known.size + 1, DIMENSIONS)).astype(np.float32)
+        table[0] = 0
         return cls(
-            rng.normal(0, 0.05, (BUCKETS, DIMENSIONS)).astype(np.float32),
-            np.zeros(BUCKETS, bool),
+            known,
+            table,
             [rng.normal(0, 0.5, (w, DIMENSIONS, FILTERS)).astype(np.float32) for w in WIDTHS],
             np.zeros(n, np.float32),
             rng.normal(0, 0.5, n).astype(np.float32),
         )
 
-    def laid(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Buckets of all texts, each followed by blanks for the widest filter; where each begins; which are words."""
-        blank = np.zeros((max(WIDTHS), 2), np.uint32)
+    @staticmethod
+    def laid(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of all texts, each followed by blanks for the widest filter, and where each begins."""
+        blank = np.zeros((max(WIDTHS), PIECES), np.int32)
         rows = np.concatenate([x for t in texts for x in (t, blank)])
-        sizes = np.array([len(t) for t in texts])
-        starts = np.concatenate([[0], np.cumsum(sizes + len(blank))])
-        word = np.ones(len(rows), bool)
-        for i in range(len(blank)):
-            word[starts[1:] - 1 - i] = False
-        return rows, starts, word & self.known[rows].all(1)
-
-    def maps(self, rows: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return rows, np.concatenate([[0], np.cumsum([len(t) + len(blank) for t in texts])])
+
+    def maps(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Embeddings and filter values of every position; windows may reach into the blanks."""
-        x = np.zeros((len(rows), DIMENSIONS), np.float32)
-        at = np.flatnonzero(word)
-        x[at] = self.table[rows[at, 0]] + self.table[rows[at, 1]]
+        x = self.table[rows[:, 0]]
+        for k in range(1, PIECES):
+            x += self.table[rows[:, k]]
         values = []
         for f in self.filters:
             z = x @ f[0]
@@ -112,15 +131,15 @@ class Network:
         return x, np.concatenate(values, 1) + self.bias
 
     def logits(self, texts: list[np.ndarray]) -> np.ndarray:
-        rows, starts, word = self.laid(texts)
-        _, z = self.maps(rows, word)
+        rows, starts = self.laid(texts)
+        _, z = self.maps(rows)
         top = np.maximum(np.maximum.reduceat(z, starts[:-1], 0), 0)
         return top @ self.out + self.out_bias + self.shift
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.logits([hashed(t) for t in texts]), -30, 30).astype(float)))
+        return 1 / (1 + np.exp(-np.clip(self.logits(texts), -30, 30).astype(float)))
 
 
 class _Adam:
@@ -135,23 +154,22 @@ class _Adam:
         value -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Network:
+def fit(hashes: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Network:
     """Logistic loss, the embeddings by Adagrad on the rows a batch touches, the rest by Adam."""
-    net, rng = Network.fresh(seed), np.random.default_rng(seed)
-    met = np.zeros(BUCKETS, np.int32)
-    for t in texts:
-        met[np.unique(t)] += 1
-    net.known = met >= 2
-    # rows without words that count are skipped: their embedding is zero
-    adam, squares = _Adam(), np.full((BUCKETS, 1), 1e-4, np.float32)
+    rng = np.random.default_rng(seed)
+    found, met = np.unique(np.concatenate([np.unique(h) for h in hashes]), return_counts=True)
+    net = Network.fresh(found[(met >= MET) & (found != 0)], seed)
+    lookup = Rows(net.known)
+    texts = [lookup.of_hashes(h) for h in hashes]
+    adam, squares = _Adam(), np.full((len(net.table), 1), 1e-4, np.float32)
     by_label = [np.flatnonzero(labels == k) for k in (0, 1)]
     offsets = np.repeat(range(len(WIDTHS)), FILTERS)
     for step in range(STEPS):
         rate = RATE * (1 - step / STEPS) + 1e-3
         chosen = np.concatenate([rng.choice(k, BATCH // 2) for k in by_label])
         own, y = [texts[i] for i in chosen], labels[chosen]
-        rows, starts, word = net.laid(own)
-        x, z = net.maps(rows, word)
+        rows, starts = net.laid(own)
+        x, z = net.maps(rows)
         top = np.stack([z[a:b].argmax(0) + a for a, b in zip(starts, starts[1:])])
         peak = np.take_along_axis(z, top, 0)
         active = np.maximum(peak, 0)
@@ -171,12 +189,11 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Network:
         adam.step(101, net.out, active.T @ error + 1e-4 * net.out, rate)
         net.out_bias -= rate * float(error.sum())
         at, grad = (np.concatenate(c) for c in zip(*d_x))
-        use = word[at]
-        at, grad = at[use], grad[use]
-        touched = np.concatenate([rows[at, 0], rows[at, 1]])
+        touched = rows[at]
         ids, inverse = np.unique(touched, return_inverse=True)
         total = np.zeros((ids.size, DIMENSIONS), np.float32)
-        np.add.at(total, inverse, np.concatenate([grad, grad]))
+        np.add.at(total, inverse.reshape(touched.shape), grad[:, None, :])
+        total[ids == 0] = 0
         squares[ids] += (total * total).mean(1, keepdims=True)
         net.table[ids] -= 0.1 * total / np.sqrt(squares[ids])
     return net
@@ -203,16 +220,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
         rows += some.orderBy(mixed, "doc_id").limit(SAMPLE).select("text", "lang", "toxic").collect()
     distinct = list({r["text"]: r for r in rows}.values())
     distinct.sort(key=lambda r: zlib.crc32(r["text"].encode("utf-8", "surrogatepass")))
-    texts, y = [hashed(r["text"]) for r in distinct], np.array([r["toxic"] for r in distinct])
+    texts, y = [pieces_of(words_of(r["text"])) for r in distinct], np.array([r["toxic"] for r in distinct])
     apart = np.arange(len(texts)) % 5 == 0
     if len({*y[~apart]}) < 2 or len({*y[apart]}) < 2:
         apart[:] = False
     net = fit([t for t, a in zip(texts, apart) if not a], y[~apart])
+    lookup = Rows(net.known)
     prior = min(max(float(share[0]), 1e-6), 1 - 1e-6)
     net.shift = float(np.log(prior / (1 - prior)))
     if apart.any():
         own = np.flatnonzero(apart)
-        score = 1 / (1 + np.exp(-net.logits([texts[i] for i in own])))
+        score = 1 / (1 + np.exp(-net.logits([lookup.of_hashes(texts[i]) for i in own])))
         # a row of the balanced sample stands for as many rows as its label has
         weight = np.where(y[own] == 1, prior / y[own].mean(), (1 - prior) / (1 - y[own].mean()))
         by = np.array([distinct[i]["lang"] or "" for i in own])
@@ -225,19 +243,20 @@ def _threshold(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float |
         return None
     order = np.argsort(-score)
     right, all_ = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
-    good = np.flatnonzero((right / all_ >= PRECISION) & (score[order] >= 0.5))
-    return float(max(0.5, score[order][good[-1]])) if good.size else 0.5
+    good = np.flatnonzero((right / all_ >= PRECISION) & (score[order] >= LEAST))
+    return float(score[order][good[-1]]) if good.size else 0.5
 
 
 def classify(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, lang, score, predicted (score of 0.5 or more) and toxic (by the language's threshold)."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # 5 MB, whatever the data
+    shared = docs.sparkSession.sparkContext.broadcast(net)  # bounded by the sample
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        lookup = Rows(own.known)
         for batch in batches:
             for part in row_slices(batch, "text", 1_000_000):
-                score = own.scores(strings(part.column("text")))
+                score = own.scores(lookup.of_texts(strings(part.column("text"))))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("lang"), pa.array(score, pa.float64())], ["doc_id", "lang", "score"]
                 )
