@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, grammar, merkle, mixing, packing, perplexity, sharding, toxicity
+from . import chat, grammar, merkle, mixing, packing, perplexity, sharding, superminhash, toxicity
 from .common import WORD, read, stage
 
 SEQUENCE = 2048
@@ -53,6 +53,10 @@ def op6_differencing_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_superminhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return superminhash.groups(read(spark, folder, "documents"))
+
+
 def op8_schema_chat(spark: SparkSession, folder: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame(
@@ -78,6 +82,7 @@ QUERIES = {
     "op4_convolutional_toxicity": op4_convolutional_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_differencing_shards": op6_differencing_shards,
+    "op7_superminhash_groups": op7_superminhash_groups,
     "op8_schema_chat": op8_schema_chat,
     "op9_perplexity_rules": op9_perplexity_rules,
     "op10_merkle_fingerprints": op10_merkle_fingerprints,
