@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import row_slices, stage, strings
 
@@ -227,20 +227,57 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(rate, SCORED)
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """Counts, perplexity, base_failed and kept of every row."""
-    model = train(stage(grams(docs), "grams"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    rows = stage(score(docs, model).withColumn("base_failed", failed), "scored")
+def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEATED * n_words)
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
+    return stage(score(docs, model).withColumn("base_failed", failed), "scored")
+
+
+def bands_of(rows: DataFrame) -> DataFrame:
+    """lang, lower and upper: the band of log perplexity of each language."""
     quartiles = F.percentile_approx("log_perplexity", [0.25, 0.75], 1000)
     bands = rows.where("not base_failed").groupBy("lang").agg(quartiles.alias("q"))
     reach = FENCE * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST))
-    bands = bands.select(
-        F.col("lang").alias("_lang"), (F.col("q")[0] - reach).alias("lower"), (F.col("q")[1] + reach).alias("upper")
-    )
+    return bands.select("lang", (F.col("q")[0] - reach).alias("lower"), (F.col("q")[1] + reach).alias("upper"))
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """Counts, perplexity, base_failed and kept of every row."""
+    rows = scored(docs, train(stage(grams(docs), "grams")))
+    bands = bands_of(rows).withColumnRenamed("lang", "_lang")
     inside = F.col("log_perplexity").between(F.col("lower"), F.col("upper"))
     return (
         rows.join(bands, F.col("lang").eqNullSafe(F.col("_lang")), "left")
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
         .drop("_lang")
     )
+
+
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows, with all their columns, that the rules keep.
+
+    Texts are scored again where they are dropped, which spares a shuffle of all
+    texts; the bands, one row per language, travel with the model.
+    """
+    model = train(stage(grams(docs), "grams"))
+    bands = {r["lang"]: (r["lower"], r["upper"]) for r in bands_of(scored(docs, model)).collect()}
+    shared = docs.sparkSession.sparkContext.broadcast((model, bands))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, limits = shared.value
+        for batch in batches:
+            for part in row_slices(batch, "text"):
+                good = []
+                for lang, text in zip(part.column("lang").to_pylist(), strings(part.column("text"))):
+                    n_words, _, _, _, repeated = counts(text)
+                    if n_words < MIN_WORDS or 100 * repeated > MAX_REPEATED * n_words:
+                        good.append(False)
+                        continue
+                    lower, upper = limits.get(lang, (0.0, -1.0))
+                    good.append(lower <= -float(own.score(keys(classes(text))).mean()) <= upper)
+                yield part.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

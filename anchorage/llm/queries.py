@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, grammar, merkle, mixing, packing, perplexity, sharding, superminhash, toxicity
+from . import chat, cotraining, grammar, merkle, mixing, packing, perplexity, sharding, superminhash, toxicity
 from .common import WORD, read, stage
 
 SEQUENCE = 2048
@@ -29,6 +29,13 @@ def op2_splitting_tree_mix(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_cotraining_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, pages, labels = (read(spark, folder, t) for t in ("documents", "pages", "labels"))
+    return cotraining.classify(docs, pages, labels).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", (F.col("predicted") == 1).alias("kept")
+    )
+
+
 def op4_convolutional_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     net = toxicity.train(docs, read(spark, folder, "labels"))
@@ -79,6 +86,7 @@ def op10_merkle_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_repair_token_files": op1_repair_token_files,
     "op2_splitting_tree_mix": op2_splitting_tree_mix,
+    "op3_cotraining_quality": op3_cotraining_quality,
     "op4_convolutional_toxicity": op4_convolutional_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_differencing_shards": op6_differencing_shards,

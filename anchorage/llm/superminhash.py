@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import row_slices, stage, strings
 
@@ -321,3 +321,15 @@ def groups(docs: DataFrame) -> DataFrame:
         .join(named, "digest", "left")
         .select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
     )
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of each group, with all its columns: that of the smallest doc_id, the first by text of repeated rows."""
+    kept = groups(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    first = Window.partitionBy("_kept").orderBy("text")
+    return (
+        docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")))
+        .withColumn("_turn", F.row_number().over(first))
+        .where("_turn = 1")
+        .select(*docs.columns)
+    )

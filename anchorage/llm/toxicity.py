@@ -266,3 +266,19 @@ def classify(docs: DataFrame, net: Network) -> DataFrame:
     for lang, value in net.thresholds.items():
         threshold = F.when(F.coalesce("lang", F.lit("")) == lang, value).otherwise(threshold)
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).withColumn("toxic", F.col("score") >= threshold)
+
+
+def without_toxic(docs: DataFrame, net: Network) -> DataFrame:
+    """The rows, with all their columns, that the verdict does not reject; scored and dropped in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        lookup = Rows(own.known)
+        for batch in batches:
+            for part in row_slices(batch, "text", 1_000_000):
+                score = own.scores(lookup.of_texts(strings(part.column("text"))))
+                limit = [own.thresholds.get(x, 0.5) for x in strings(part.column("lang"))]
+                yield part.filter(pa.array(score < np.array(limit)))
+
+    return docs.mapInArrow(keep, docs.schema)
