@@ -7,15 +7,18 @@ import os
 import re
 from collections.abc import Iterable
 
-import numpy as np
-
 # Unicode white space, as the tokenizers' patterns read it.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _RUNS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _UNEVEN = re.compile(f"[{_SPACE}]{{2}}|^[{_SPACE}]|[{_SPACE}]$")
 
+# Byte-level vocabularies show bytes as characters, a fixed rule: printable ones as
+# they are, the others from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SHOWN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
 #: Words whose ids a worker remembers, about 200 bytes each.
-REMEMBERED = 600_000
+REMEMBERED = 700_000
 
 
 class Encoder:
@@ -23,41 +26,65 @@ class Encoder:
 
     The tokenizers split a text before they merge, never inside a run without
     white space, so the ids of a text are those of its words in a row.  A word
-    keeps the space before it where the vocabulary has words with a space.
+    keeps the space before it where the vocabulary has words with a space.  A
+    new word is split by the tokenizer's own rules and merged by its own model;
+    letters alone, with marks after them, need no rules to be split.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self.size = self._tokenizer.get_vocab_size()
+        own = Tokenizer.from_file(path)
+        own.encode_special_tokens = True
+        self.size = own.get_vocab_size()
+        self._model, self._split, self._normal = own.model, own.pre_tokenizer.pre_tokenize_str, own.normalizer
         self._remembered = remembered
-        self._known: dict[str, bytes] = {}
-        self._spaced = self._plain(["a b"])[0] != b"".join(self._plain(["a", "b"]))
+        self._known: dict[str, bytes] = {"": b""}
+        self._spaced = own.encode("a b").tokens != own.encode("a").tokens + own.encode("b").tokens
+        self._blank = self._split(" a")[0][0].removesuffix("a") if self._spaced else ""
+        self._lower = self._normal is not None and self._normal.normalize_str("Ab") == "ab"
+
+    def _merge(self, parts: Iterable[str]) -> bytes:
+        return b"".join(x.id.to_bytes(4, "little") for p in parts for x in self._model.tokenize(p))
+
+    def _of(self, word: str) -> bytes:
+        ids = self._known.get(word)
+        if ids is None:
+            ids = self._known[word] = self._new(word)
+        return ids
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        coded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in coded]
+    def _new(self, word: str) -> bytes:
+        if word[0] == "\n" and len(word) > 1 and not word[1].isspace():
+            return self._of("\n") + self._of(word[1:])
+        core = word.rstrip(".,;:!?")
+        if len(core) < len(word) and core[-1:].isalpha():
+            return self._of(core) + self._of(word[len(core) :])
+        letters = word[1:] if self._spaced and word[0] == " " else word
+        if letters.isalpha() and max(letters) < "\u0250":
+            blank = self._blank if len(letters) < len(word) else ""
+            if letters.isascii():
+                return self._merge([blank + (letters.lower() if self._lower else letters)])
+            own = self._normal.normalize_str(letters) if self._normal else letters
+            if own.isalpha() and max(own) < "\u0250":
+                return self._merge([blank + own.encode().decode("latin-1").translate(_SHOWN)])
+        return self._merge(p for p, _ in self._split(self._normal.normalize_str(word) if self._normal else word))
 
     def _words(self, text: str) -> list[str]:
         if not self._spaced:
             return text.replace("\n", " ").split(" ")
-        if _UNEVEN.search(text):
+        if "\0" in text or _UNEVEN.search(text):
             return _RUNS.findall(text)
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else _RUNS.findall(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         words = [self._words(x) for x in texts]
         needed = set().union(*words)
-        fresh = list(needed.difference(self._known))
-        if len(self._known) + len(fresh) > self._remembered:
-            self._known = {w: self._known[w] for w in needed.intersection(self._known)}
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            self._known.update(zip(part, self._plain(part)))
+        if len(self._known) > self._remembered:
+            self._known = {w: self._known[w] for w in needed.intersection(self._known)} | {"": b""}
+        for word in needed.difference(self._known):
+            self._of(word)
         ids = self._known.__getitem__
         return [b"".join(map(ids, x)) for x in words]
 
