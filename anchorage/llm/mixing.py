@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -78,15 +79,17 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     )
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _log_factorial(n: Column) -> Column:
     """ln n! by Stirling's series at n + 8, whose error is below 1e-12."""
     m = n + 8.0
-    inverse = 1.0 / m
-    series = inverse / 12 - F.pow(inverse, F.lit(3)) / 360 + F.pow(inverse, F.lit(5)) / 1260 - F.pow(inverse, F.lit(7)) / 1680
-    stirling = m * F.log(m) - m + 0.5 * F.log(2 * math.pi * m) + series
-    for k in range(1, 9):
-        stirling = stirling - F.log(n + float(k))
-    return stirling
+    series = 1 / (12 * m) - 1 / (360 * m * m * m) + 1 / (1260 * m * m * m * m * m)
+    below = functools.reduce(lambda a, k: a * (n + float(k)), range(2, 9), n + 1.0)
+    return m * F.log(m) - m + 0.5 * F.log(2 * math.pi * m) + series - F.log(below)
 
 
 def hypergeometric(total: Column, marked: Column, drawn: Column, uniform: Column) -> Column:
@@ -95,17 +98,28 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, uniform: Column
     Sums the probabilities from 14 standard deviations below the mean, or the
     least possible value, until they reach ``uniform``.
     """
-    n, k, d = (x.cast("double") for x in (total, marked, drawn))
-    share = F.when(n > 0, d / n).otherwise(0.0)
-    mean = k * share
-    width = F.ceil(14 * F.sqrt(F.greatest(mean * (1 - share), F.lit(0.0))) + 14)
+    given = F.struct(
+        total.cast("double").alias("n"), marked.cast("double").alias("k"), drawn.cast("double").alias("d"),
+        uniform.alias("uniform"),
+    )
+    return _let(given, lambda g: _let(_bounds(g), lambda b: _invert(g, b)))
+
+
+def _bounds(g: Column) -> Column:
+    n, k, d = g["n"], g["k"], g["d"]
+    mean = F.when(n > 0, k * d / n).otherwise(0.0)
+    width = F.ceil(14 * F.sqrt(F.greatest(mean * (1 - F.when(n > 0, d / n).otherwise(0.0)), F.lit(0.0))) + 14)
     low = F.greatest(F.lit(0.0), d + k - n, F.floor(mean) - width)
-    high = F.least(k, d, F.ceil(mean) + width)
-    first = F.exp(
-        _log_factorial(k) - _log_factorial(low) - _log_factorial(k - low)
-        + _log_factorial(n - k) - _log_factorial(d - low) - _log_factorial(n - k - d + low)
-        - _log_factorial(n) + _log_factorial(d) + _log_factorial(n - d)
-    )
+    return F.struct(low.alias("low"), F.least(k, d, F.ceil(mean) + width).alias("high"))
+
+
+def _invert(g: Column, b: Column) -> Column:
+    n, k, d, low = g["n"], g["k"], g["d"], b["low"]
+    up = [k, n - k, d, n - d]
+    down = [n, low, k - low, d - low, n - k - d + low]
+    logs = F.transform(F.array(*up, *down), _log_factorial)
+    signed = F.zip_with(logs, F.array(*[F.lit(1.0)] * len(up), *[F.lit(-1.0)] * len(down)), lambda x, sign: x * sign)
+    first = F.exp(F.aggregate(signed, F.lit(0.0), lambda x, y: x + y))
 
     def step(state: Column, x: Column) -> Column:
         """state: sum so far, probability of x, value once found."""
@@ -115,11 +129,11 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, uniform: Column
         return F.struct(
             reached.alias("sum"),
             (state["p"] * F.greatest(ratio, F.lit(0.0))).alias("p"),
-            F.when(state["value"].isNull() & (reached >= uniform), x).otherwise(state["value"]).alias("value"),
+            F.when(state["value"].isNull() & (reached >= g["uniform"]), x).otherwise(state["value"]).alias("value"),
         )
 
     start = F.struct(F.lit(0.0).alias("sum"), first.alias("p"), F.lit(None).cast("long").alias("value"))
-    low, high = low.cast("long"), high.cast("long")
+    low, high = low.cast("long"), b["high"].cast("long")
     return F.coalesce(F.aggregate(F.sequence(low, high), start, step)["value"], high)
 
 
@@ -180,7 +194,8 @@ def split(draws: DataFrame, shards: int) -> DataFrame:
                 node(F.col("half"), F.col("high"), right, F.col("blocks") - F.col("left_blocks")),
             ),
         ).otherwise(F.array(node(F.col("low"), F.col("high"), F.col("has"), F.col("blocks"))))
-        nodes = split_here.select(F.explode(children).alias("c")).select("c.*")
+        # at most as many rows as shards; stored, so that plans do not nest
+        nodes = stage(split_here.select(F.explode(children).alias("c")).select("c.*"), "tree")
     # a source's draws are dealt to shards in a row
     quotas = nodes.select(F.col("low").alias("shard"), F.explode("has").alias("s")).select("shard", "s.source", "s.n")
     upto = Window.partitionBy("source").orderBy("shard")
