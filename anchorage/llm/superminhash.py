@@ -140,7 +140,7 @@ def doubtful(first: int, others: np.ndarray, size: int = BANDS * ROWS, similar:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """Set size, digest, band keys and a byte for each signature slot of every document."""
+    """Set size, digest and band keys of every document, and a sketch: a byte for each slot, four for each band key."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,6 +149,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 full = [k for k, s in enumerate(sets) if s.size]
                 sign_of = signatures([sets[k] for k in full])
                 keys, marks = bands(sign_of), mix(sign_of.view(np.uint64)).astype(np.uint8)
+                low = keys.astype("<u4", casting="unsafe")
                 by = dict(zip(full, range(len(full))))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -156,7 +157,7 @@ def signed(docs: DataFrame) -> DataFrame:
                         pa.array([s.size for s in sets], pa.int64()),
                         pa.array([digest(s) if s.size else None for s in sets], pa.binary()),
                         pa.array([keys[by[k]] if k in by else None for k in range(len(sets))], pa.list_(pa.int64())),
-                        pa.array([marks[by[k]].tobytes() if k in by else None for k in range(len(sets))], pa.binary()),
+                        pa.array([marks[by[k]].tobytes() + low[by[k]].tobytes() if k in by else None for k in range(len(sets))], pa.binary()),
                     ],
                     ["doc_id", "n_shingles", "digest", "bands", "sketch"],
                 )
@@ -235,7 +236,8 @@ def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataF
     """All pairs of a bucket's members across components, but for those whose sketches differ too much.
 
     Pairs have one side outside the bucket's largest component.  Both sides are
-    dealt into blocks, so a task holds two blocks of a bucket at a time.
+    dealt into blocks, so a task holds two blocks of a bucket at a time.  A pair is
+    told by the first band that it shares, and there once.
     """
     own = members.join(labels, "id")
     each = own.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n_label"))
@@ -245,7 +247,7 @@ def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataF
     total = total.where("n_all > n_main")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     placed = own.join(total, "key").select(
-        "key", "id", "n", "label", "main",
+        "key", "band", "id", "n", "label", (F.col("label") != F.col("main")).alias("minor"),
         blocks(F.col("n_all")).alias("right_blocks"), blocks(F.col("n_all") - F.col("n_main")).alias("left_blocks"),
     )
     dealt = F.xxhash64("id")
@@ -253,24 +255,29 @@ def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataF
         "l", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1))
     )
     left = (
-        placed.where("label != main")
+        placed.where("minor")
         .select("*", F.lit(True).alias("is_left"), F.pmod(dealt, "left_blocks").cast("int").alias("l"))
         .withColumn("r", F.explode(F.sequence(F.lit(0), F.col("right_blocks") - 1)))
     )
     cells = left.unionByName(right).join(sketches, "id")
-    columns = ["key", "l", "r", "is_left", "id", "n", "label", "sketch"]
+    columns = ["key", "l", "r", "is_left", "id", "n", "label", "sketch", "band", "minor"]
 
     def pairs_of(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         left_rows = [x for x in rows if x[3]]
         others = [x for x in rows if not x[3]]
         if not others:
             return
-        ids, sizes, label = (np.array([x[k] for x in others]) for k in (4, 5, 6))
-        marks = np.frombuffer(b"".join(x[7] for x in others), np.uint8).reshape(len(others), -1)
-        for _, _, _, _, one, n, own_label, sketch in left_rows:
-            ok = np.flatnonzero((label != own_label) & (100 * np.minimum(sizes, n) >= SIMILAR * np.maximum(sizes, n)))
+        ids, sizes, label, minor = (np.array([x[k] for x in others]) for k in (4, 5, 6, 9))
+        sketch = np.frombuffer(b"".join(x[7] for x in others), np.uint8).reshape(len(others), -1)
+        slots, band = BANDS * ROWS, others[0][8]
+        marks, earlier = sketch[:, :slots], np.ascontiguousarray(sketch[:, slots:]).view("<u4")[:, :band]
+        for x in left_rows:
+            one, n, own = x[4], x[5], np.frombuffer(x[7], np.uint8)
+            ok = (label != x[6]) & (~minor | (ids > one)) & (100 * np.minimum(sizes, n) >= SIMILAR * np.maximum(sizes, n))
+            ok = np.flatnonzero(ok)
+            ok = ok[~(earlier[ok] == own[slots:].view("<u4")[:band]).any(1)]
             if ok.size:
-                agree = (marks[ok] == np.frombuffer(sketch, np.uint8)).sum(1)
+                agree = (marks[ok] == own[:slots]).sum(1)
                 ok = ok[agree >= doubtful(n, sizes[ok])]
                 yield np.minimum(ids[ok], one), np.maximum(ids[ok], one)
 
@@ -291,7 +298,7 @@ def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataF
         yield from told()
 
     sorted_cells = cells.select(columns).repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
-    return sorted_cells.mapInArrow(match, "a long, b long").distinct()
+    return sorted_cells.mapInArrow(match, "a long, b long")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -312,7 +319,7 @@ def groups(docs: DataFrame) -> DataFrame:
     for number, some in enumerate((members.where(F.col("band") < FIRST_BANDS), members)):
         links = confirmed(_stars(some.select("key", "id", "n"), labels, number), sets)
         labels = components(labels, stage(links, "links"))
-    links = confirmed(stage(_across(members.select("key", "id", "n"), labels, sketches), "pairs"), sets)
+    links = confirmed(stage(_across(members, labels, sketches), "pairs"), sets)
     labels = components(labels, stage(links, "links"))
     named = classes.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("_component"))
     component = F.coalesce("_component", "doc_id")
