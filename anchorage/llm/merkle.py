@@ -117,7 +117,7 @@ def with_next(rows: DataFrame, columns: list[str], parts: int) -> DataFrame:
             F.struct(F.lit(r["_part"]).alias("part"), F.lit(r["head"]).cast("long").alias("head"), F.lit(before[r["_part"]]).alias("before"))
             for r in heads
         ]
-    )
+    ).cast("array<struct<part:int,head:bigint,before:int>>")
     home = F.struct(F.col("_part").alias("part"), F.lit(0).alias("guest"))
     visit = F.transform(
         F.filter(guests, lambda g: (g["part"] == F.col("_part")) & g["head"].eqNullSafe(F.col("doc_id"))),

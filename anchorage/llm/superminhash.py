@@ -103,7 +103,7 @@ def signatures(sets: list[np.ndarray], size: int = BANDS * ROWS) -> np.ndarray:
 
 def bands(signature: np.ndarray, count: int = BANDS) -> np.ndarray:
     """A key for each band of each row."""
-    bits = np.ascontiguousarray(signature).view(np.uint64).reshape(len(signature), count, -1)
+    bits = np.ascontiguousarray(signature).view(np.uint64).reshape(len(signature), count, signature.shape[1] // count)
     out = np.tile(np.arange(count, dtype=np.uint64), (len(signature), 1))
     for i in range(bits.shape[2]):
         out = mix(out * _MIX[2] + bits[:, :, i])

@@ -10,7 +10,7 @@ from collections.abc import Iterable
 # Unicode white space, as the tokenizers' patterns read it.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _RUNS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-_UNEVEN = re.compile(f"[{_SPACE}]{{2}}|^[{_SPACE}]|[{_SPACE}]$")
+_OTHER = re.compile(f"[{_SPACE.replace(' ', '', 1)}]".replace("\t-\r", "\t\x0b-\r"))
 
 # Byte-level vocabularies show bytes as characters, a fixed rule: printable ones as
 # they are, the others from 256 on.
@@ -73,10 +73,16 @@ class Encoder:
     def _words(self, text: str) -> list[str]:
         if not self._spaced:
             return text.replace("\n", " ").split(" ")
-        if "\0" in text or _UNEVEN.search(text):
+        if self._uneven(text):
             return _RUNS.findall(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
+    @staticmethod
+    def _uneven(text: str) -> bool:
+        """Whether white space is more than single blanks and line ends between words."""
+        twice = "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+        return twice or "\0" in text or text[:1] in " \n" or text[-1:] in " \n" or bool(_OTHER.search(text))
+
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         words = [self._words(x) for x in texts]

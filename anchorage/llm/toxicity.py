@@ -243,8 +243,15 @@ def _threshold(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float |
         return None
     order = np.argsort(-score)
     right, all_ = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
-    good = np.flatnonzero((right / all_ >= PRECISION) & (score[order] >= LEAST))
-    return float(score[order][good[-1]]) if good.size else 0.5
+    ranked = score[order]
+    good = np.flatnonzero((right / all_ >= PRECISION) & (ranked >= LEAST))
+    if not good.size:
+        return 0.5
+    last = good[-1]
+    below = ranked[last + 1] if last + 1 < ranked.size else 0.0
+    # half way to the next row, and not above 0.5 where all rows from there on are good
+    middle = max(LEAST, float(ranked[last] + below) / 2)
+    return middle if below >= 0.5 else min(0.5, middle)
 
 
 def classify(docs: DataFrame, net: Network) -> DataFrame:
