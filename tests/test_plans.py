@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from anchorage.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
 FITS = {"lr_grid_search", "single_system_eval", "cross_system_eval"}
@@ -16,9 +17,9 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - FITS))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - FITS))
 def test_no_nested_loops_and_no_python(spark, name):
-    text = plan(contract.queries()[name](spark, FOLDER))
+    text = plan(registry.queries()[name](spark, FOLDER))
     for operator in ("NestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
         assert operator not in text
 

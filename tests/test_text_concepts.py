@@ -184,3 +184,13 @@ def test_semantic_groups(spark, frame):
     d = frame([("C1", "T047"), ("C2", "T022"), ("C3", "T999")], "concept_id string, tui string")
     got = rows(concepts.group_concepts(d, concepts.semantic_groups(spark)), "concept_id", "concept_group")
     assert got == [("C1", "disorder"), ("C2", "anatomy"), ("C2", "finding")]
+
+
+def test_phrases_of_any_length_are_found(frame):
+    phrase = "one two three four five six seven eight nine"
+    docs = frame([(1, f"say {phrase} now"), (2, "one nine eight seven six five four three two")], "doc_id long, text string")
+    dictionary = frame([("C1", phrase), ("C2", "seven eight")], "concept_id string, text string")
+    found = rows(concepts.annotate(docs, dictionary), "doc_id", "concept_id")
+    assert found == [(1, "C1"), (1, "C2"), (2, "C1")]
+    short = rows(concepts.annotate(docs, dictionary, max_window=7), "doc_id", "concept_id")
+    assert short == [(1, "C2")]
