@@ -18,13 +18,6 @@ from ..functions.text import (
 )
 from ..session import stage
 
-DISTANCE = 2
-# Words up to this length are matched by deletions, longer ones by segments.
-DELETION_LENGTH = 24
-# A vocabulary of up to this many words is broadcast: with at most 352 keys of
-# at most 26 characters per word its keys stay below 60 MB.
-BROADCAST_WORDS = 2000
-
 
 def token_counts(texts: DataFrame, column: str = "text") -> DataFrame:
     """Occurrences of each word of two or more characters."""
@@ -71,111 +64,75 @@ def build_vocabulary(sources: list[DataFrame]) -> DataFrame:
 # --- spelling ---------------------------------------------------------------
 
 
-def _one_deleted(word: Column) -> Column:
-    return F.transform(
-        F.sequence(F.lit(1), F.length(word)),
-        lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))),
-    )
+def _allowed(length: Column, k: int) -> Column:
+    """Edits a word may be away: ``k``, and fewer than it has characters."""
+    return F.least(F.lit(k), length - 1)
 
 
-def _deletions(word: Column, k: int) -> Column:
-    """All strings left after removing up to ``k`` characters."""
-    out = level = F.array(word)
-    for _ in range(k):
-        level = F.array_distinct(
-            F.flatten(F.transform(F.filter(level, lambda w: F.length(w) > 0), _one_deleted))
-        )
-        out = F.concat(out, level)
-    return F.array_distinct(out)
+def _cut(length: Column, k: int, i: Column) -> Column:
+    """Characters before piece ``i`` of a word cut into one piece more than edits are allowed."""
+    return F.floor(i * length / (_allowed(length, k) + 1)).cast("int")
+
 
+def _key(word: Column, length: Column, part: Column, begin: Column, size: Column) -> Column:
+    return F.struct(
+        length.alias("len"), part.alias("part"), F.substring(word, begin + 1, size).alias("piece")
+    )
 
-def _segments(word: Column, length: Column, parts: int) -> Column:
-    """``word`` cut into ``parts`` pieces of near-even size, with their place."""
-    base = F.floor(length / parts).cast("int")
+
+def _pieces(word: Column, k: int) -> Column:
+    n = F.length(word)
     return F.transform(
-        F.sequence(F.lit(0), F.lit(parts - 1)),
-        lambda i: F.struct(
-            length.alias("len"),
-            i.alias("part"),
-            F.substring(
-                word,
-                (base * i + 1).cast("int"),
-                F.when(i == parts - 1, length - base * (parts - 1)).otherwise(base).cast("int"),
-            ).alias("piece"),
-        ),
+        F.sequence(F.lit(0), _allowed(n, k)),
+        lambda i: _key(word, n, i, _cut(n, k, i), _cut(n, k, i + 1) - _cut(n, k, i)),
     )
 
 
-def _shifted_pieces(word: Column, k: int) -> Column:
-    """Pieces of ``word`` where a segment of a word within ``k`` could lie."""
-    parts = k + 1
+def _places(match: Column, k: int, lengths: Column) -> Column:
+    """Keys of all pieces that words of ``lengths`` could share with ``match``.
 
-    def for_length(length: Column) -> Column:
-        base = F.floor(length / parts).cast("int")
+    With the edits split at a piece left whole, fewer than its number lie before
+    it and the rest after it, so it has moved by no more on either side.
+    """
+    m = F.length(match)
 
+    def for_length(n: Column) -> Column:
         def for_part(i: Column) -> Column:
-            size = F.when(i == parts - 1, length - base * (parts - 1)).otherwise(base)
-            return F.transform(
-                F.sequence(F.lit(-k), F.lit(k)),
-                lambda shift: F.struct(
-                    length.alias("len"),
-                    i.alias("part"),
-                    F.substring(
-                        word, F.greatest(base * i + 1 + shift, F.lit(1)).cast("int"), size.cast("int")
-                    ).alias("piece"),
-                ),
-            )
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), for_part))
-
-    lengths = F.sequence(F.length(word) - k, F.length(word) + k)
-    return F.array_distinct(F.flatten(F.transform(lengths, for_length)))
-
-
-def candidate_pairs(
-    unknown: DataFrame, vocabulary: DataFrame, k: int = DISTANCE, cut: int = DELETION_LENGTH
-) -> DataFrame:
-    """Every (word, match, distance) with edit distance at most ``k``.
+            begin, after = _cut(n, k, i), _allowed(n, k) - i
+            size = _cut(n, k, i + 1) - begin
+            low = F.greatest(begin - i, begin + m - n - after, F.lit(0))
+            high = F.least(begin + i, begin + m - n + after, m - size)
+            places = F.filter(F.sequence(low, F.greatest(low, high)), lambda at: at <= high)
+            return F.transform(places, lambda at: _key(match, n, i, at, size))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), _allowed(n, k)), for_part))
 
-    Short words meet on a string both reach by up to ``k`` deletions, which
-    any pair within ``k`` edits has.  Long words meet on one of ``k + 1``
-    segments, at least one of which ``k`` edits leave whole, so the number of
-    keys per word does not grow with its length.  Both routes are equality
-    joins that find all pairs; the distance is then checked exactly.
+    near = F.filter(lengths, lambda n: F.abs(n - m) <= _allowed(n, k))
+    return F.array_distinct(F.flatten(F.transform(near, for_length)))
 
-    Keys outgrow the words they come from, which the planner does not see, so
-    the join is chosen here by the counted size of the vocabulary.
+
+def candidate_pairs(unknown: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
+    """Every (word, match, distance) with edit distance at most ``k`` and below the word's length.
+
+    Words of one character have none.  A word is cut into one piece more than edits are allowed, so one piece at
+    least is left whole: words meet vocabulary words on a piece, by equality, and
+    all pairs are found.  The distance is then checked exactly, before the pairs
+    are shuffled.  Keys outgrow the words they come from, which the planner does
+    not see, so the join is fixed.
     """
-    w, v = unknown.select("word").distinct(), vocabulary.select(F.col("word").alias("match"))
-    small = v.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
-    how = "broadcast" if small else "merge"
-    by_deletion = (
-        w.filter(F.length("word") <= cut)
-        .select("word", F.explode(_deletions(F.col("word"), k)).alias("key"))
-        .join(
-            v.filter(F.length("match") <= cut + k).select(
-                "match", F.explode(_deletions(F.col("match"), k)).alias("key")
-            ).hint(how),
-            "key",
-        )
-        .select("word", "match")
-    )
-    by_segment = (
-        w.filter(F.length("word") > cut)
-        .select("word", F.explode(_shifted_pieces(F.col("word"), k)).alias("key"))
-        .join(
-            v.filter(F.length("match") > cut - k).select(
-                "match", F.explode(_segments(F.col("match"), F.length("match"), k + 1)).alias("key")
-            ).hint("merge"),
-            "key",
-        )
-        .select("word", "match")
-    )
+    w = unknown.select("word").filter(F.length("word") > 1).distinct()
+    lengths = w.select(F.array_sort(F.collect_set(F.length("word")))).scalar()
+    # many keys come of few words: spread these first
+    cores = vocabulary.sparkSession.sparkContext.defaultParallelism
+    v = vocabulary.select(F.col("word").alias("match")).distinct().repartition(cores, "match")
+    v = v.withColumn("_lengths", lengths)
+    places = v.select("match", F.explode(_places(F.col("match"), k, F.col("_lengths"))).alias("key"))
     return (
-        by_deletion.unionByName(by_segment)
+        w.select("word", F.explode(_pieces(F.col("word"), k)).alias("key"))
+        .join(places.hint("merge"), "key")
+        .select("word", "match", F.levenshtein("word", "match", k).alias("distance"))
+        .filter((F.col("distance") >= 0) & (F.col("distance") < F.length("word")))
         .distinct()
-        .withColumn("distance", F.levenshtein("word", "match", k))
-        .filter(F.col("distance") >= 0)
     )
 
 
@@ -195,18 +152,37 @@ def best_matches(pairs: DataFrame) -> DataFrame:
     )
 
 
+def nearest_words(unknown: DataFrame, vocabulary: DataFrame, k: int | None = None) -> DataFrame:
+    """(word, match, distance): the best match of each word, at most ``k`` edits away if given.
+
+    The distance rises, and only words still without a match go on, until no
+    distance below a word's length is left.  Each step is a stage table.
+    """
+    rest = stage(unknown.select("word").distinct(), "unknown")
+    found, step = [], 2
+    while True:
+        reach = step if k is None else min(step, k)
+        best = best_matches(candidate_pairs(rest, vocabulary, reach))
+        looked = stage(rest.join(best, "word", "left"), "spelled")
+        found.append(looked.filter(F.col("match").isNotNull()))
+        rest = looked.filter(F.col("match").isNull() & (F.length("word") - 1 > reach)).select("word")
+        if reach == k or not rest.limit(1).count():
+            return reduce(DataFrame.unionByName, found)
+        step = 2 * step - 1
+
+
 def correct_spelling(
     observed: DataFrame,
     medical: DataFrame,
     general: DataFrame | None = None,
-    k: int = DISTANCE,
+    k: int | None = None,
 ) -> DataFrame:
     """(word, corrected): known words stay, others go to their best match.
 
     ``observed``, ``medical`` and ``general`` hold distinct ``word`` rows.  A
     word of either list is known, and so is one whose upper-case form is in the
-    medical list.  Suggestions come from the medical list; words without any
-    stay as they are.
+    medical list.  Suggestions come from the medical list, at any distance below
+    the word's length (``k`` at most if given); words without any stay as they are.
     """
     seen = observed.select("word").distinct()
     shouted = medical.filter(F.upper("word") == F.col("word"))
@@ -214,7 +190,7 @@ def correct_spelling(
     if general is not None:
         known = known.unionByName(general.select("word"))
     unknown = seen.join(known, "word", "left_anti")
-    best = best_matches(candidate_pairs(unknown, medical, k)).select("word", "match")
+    best = nearest_words(unknown, medical, k).select("word", "match")
     return seen.join(best, "word", "left").select(
         "word", F.coalesce("match", "word").alias("corrected")
     )
@@ -274,7 +250,7 @@ def cleaned_items(items: DataFrame) -> DataFrame:
 
 
 def consolidate_corrected(
-    items: DataFrame, medical: DataFrame, general: DataFrame | None = None, k: int = DISTANCE
+    items: DataFrame, medical: DataFrame, general: DataFrame | None = None, k: int | None = None
 ) -> DataFrame:
     """Clean, spell-correct and consolidate the items of the older system.
 

@@ -269,10 +269,37 @@ _SPELLING = {
     "unknown": f"""SELECT word, {_ONE_BYTE}, length(word) AS n FROM seen
         WHERE word NOT IN (SELECT word FROM med) AND word NOT IN (SELECT word FROM gen)""",
     "target": f"SELECT word, {_ONE_BYTE}, length(word) AS n FROM med",
-    "near": """SELECT u.word, u.n, m.word AS w, levenshtein(u.b, m.b) AS d
-        FROM unknown u JOIN target m ON m.n BETWEEN u.n - 2 AND u.n + 2""",
-    "best": """SELECT word, min({'d': d, 'w': w}) AS b FROM near
-        WHERE d <= 2 AND d < n GROUP BY word""",
+}
+
+
+def _nearest(k: int, words: str) -> dict[str, str]:
+    """Best matches of ``words`` up to ``k`` edits, by pieces one of which is left whole, and words left over."""
+    begin, end = f"(i * n // {k + 1})", f"((i + 1) * n // {k + 1})"
+    low = f"greatest({begin} - i, {begin} + m - n - {k} + i, 0)"
+    high = f"least({begin} + i, {begin} + m - n + {k} - i, m - {end} + {begin})"
+    return {
+        f"piece{k}": f"""SELECT word, b, n, i, substr(b, {begin} + 1, {end} - {begin}) AS piece
+            FROM (SELECT *, unnest(range({k + 1})) AS i FROM {words} WHERE n > {k})""",
+        f"place{k}": f"""SELECT w, mb, n, i, substr(mb, pos + 1, {end} - {begin}) AS piece
+            FROM (SELECT *, unnest(range({low}, {high} + 1)) AS pos
+              FROM (SELECT *, unnest(range({k + 1})) AS i
+                FROM (SELECT word AS w, b AS mb, n AS m,
+                        unnest(range(greatest(n - {k}, {k + 1}), n + {k + 1})) AS n FROM target)))""",
+        f"best{k}": f"""SELECT word, min({{'d': d, 'w': w}}) AS b
+            FROM (SELECT word, w, levenshtein(b, mb) AS d FROM
+              (SELECT DISTINCT word, b, w, mb FROM piece{k} JOIN place{k} USING (n, i, piece)))
+            WHERE d <= {k} GROUP BY word""",
+        f"open{k}": f"SELECT * FROM {words} WHERE word NOT IN (SELECT word FROM best{k})",
+    }
+
+
+# Two, three, then four edits by equality; the few words left against all.
+_SPELLING |= _nearest(2, "unknown") | _nearest(3, "open2") | _nearest(4, "open3")
+_SPELLING |= {
+    "far": """SELECT word, min({'d': d, 'w': w}) AS b
+        FROM (SELECT u.word, u.n, m.word AS w, levenshtein(u.b, m.b) AS d FROM open4 u, target m)
+        WHERE d < n GROUP BY word""",
+    "best": "FROM best2 UNION ALL FROM best3 UNION ALL FROM best4 UNION ALL FROM far",
 }
 
 _CONSOLIDATED = {
@@ -280,10 +307,11 @@ _CONSOLIDATED = {
     "cleaned": f"""SELECT CAST(p_partkey AS VARCHAR) AS item_id,
         {_clean("p_name || ' ' || p_type")} AS cleaned FROM part""",
     "seen": f"SELECT DISTINCT unnest({sql_words('cleaned', 2)}) AS word FROM cleaned",
-    "best": """SELECT u.word, min({'d': levenshtein(u.word, m.word), 'w': m.word}) AS b
-        FROM seen u, med m WHERE u.word NOT IN (SELECT word FROM med)
-          AND levenshtein(u.word, m.word) <= 2 AND levenshtein(u.word, m.word) < length(u.word)
-        GROUP BY u.word""",
+    "best": f"""SELECT word, min({{'d': d, 'w': w}}) AS b
+        FROM (SELECT u.word, m.word AS w, levenshtein(u.b, m.b) AS d
+              FROM (SELECT word, {_ONE_BYTE} FROM seen) u, (SELECT word, {_ONE_BYTE} FROM med) m
+              WHERE u.word NOT IN (SELECT word FROM med))
+        WHERE d < length(word) GROUP BY word""",
     "fixed": f"""SELECT item_id, any_value(cleaned) AS cleaned,
         string_agg(coalesce(b.w, tok), ' ' ORDER BY pos) AS label
         FROM (SELECT item_id, cleaned, unnest(toks) AS tok, unnest(range(len(toks))) AS pos

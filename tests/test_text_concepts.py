@@ -40,16 +40,32 @@ def edited(rng, word):
     return "".join(w)
 
 
-@pytest.mark.parametrize("cut", [0, 6, 24])
-def test_candidates_are_all_pairs_within_two(frame, cut):
-    rng = random.Random(cut)
+def words_and_vocabulary(seed):
+    rng = random.Random(seed)
     vocab = near_words(rng, "abcé", 60, (1, 14)) + near_words(rng, "abcdefgh", 15, (20, 45))
-    probes = sorted({edited(rng, w) for w in vocab for _ in range(3)} - {""})
+    return sorted({edited(rng, w) for w in vocab for _ in range(3)} - {""}), vocab
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 9])
+def test_candidates_are_all_pairs_within_reach(frame, k):
+    probes, vocab = words_and_vocabulary(k)
     got = vocabulary.candidate_pairs(
-        frame([(w,) for w in probes], "word string"), frame([(w,) for w in vocab], "word string"), 2, cut
+        frame([(w,) for w in probes], "word string"), frame([(w,) for w in vocab], "word string"), k
+    )
+    all_ = ((a, b, levenshtein(a, b)) for a in probes for b in vocab if len(a) > 1)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(x for x in all_ if x[2] <= min(k, len(x[0]) - 1))
+
+
+@pytest.mark.parametrize("k", [None, 2])
+def test_nearest_words_at_any_distance(frame, k):
+    probes, vocab = words_and_vocabulary(11)
+    probes = sorted({*probes, "q", "xyxyxyxyxyxyxyxya", "hhhhhhhh"})
+    got = vocabulary.nearest_words(
+        frame([(w,) for w in probes], "word string"), frame([(w,) for w in vocab], "word string"), k
     )
-    want = sorted((a, b, levenshtein(a, b)) for a in probes for b in vocab if levenshtein(a, b) <= 2)
-    assert sorted(tuple(r) for r in got.collect()) == want
+    best = {a: min((levenshtein(a, b), b) for b in vocab) for a in probes}
+    want = [(a, m, d) for a, (d, m) in best.items() if 1 < len(a) > d and (k is None or d <= k)]
+    assert rows(got, "word", "match", "distance") == sorted(want)
 
 
 def test_best_match_rules(frame):
