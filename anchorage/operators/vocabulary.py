@@ -64,51 +64,51 @@ def build_vocabulary(sources: list[DataFrame]) -> DataFrame:
 # --- spelling ---------------------------------------------------------------
 
 
-def _allowed(length: Column, k: int) -> Column:
-    """Edits a word may be away: ``k``, and fewer than it has characters."""
-    return F.least(F.lit(k), length - 1)
+KEY = ["len", "part", "piece"]
 
 
-def _cut(length: Column, k: int, i: Column) -> Column:
-    """Characters before piece ``i`` of a word cut into one piece more than edits are allowed."""
-    return F.floor(i * length / (_allowed(length, k) + 1)).cast("int")
+def _parts(sized: DataFrame, k: int) -> DataFrame:
+    """A row per piece of words ``len`` long: its number, where it begins and its size.
 
-
-def _key(word: Column, length: Column, part: Column, begin: Column, size: Column) -> Column:
-    return F.struct(
-        length.alias("len"), part.alias("part"), F.substring(word, begin + 1, size).alias("piece")
+    A word may be ``k`` edits away, and fewer than it has characters; it is cut
+    into one piece more.
+    """
+    allowed = F.least(F.lit(k), F.col("len") - 1)
+    cut = lambda i: F.floor(i * F.col("len") / (F.col("allowed") + 1)).cast("int")
+    return (
+        sized.withColumn("allowed", allowed)
+        .withColumn("part", F.explode(F.sequence(F.lit(0), "allowed")))
+        .withColumn("begin", cut(F.col("part")))
+        .withColumn("size", cut(F.col("part") + 1) - F.col("begin"))
     )
 
 
-def _pieces(word: Column, k: int) -> Column:
-    n = F.length(word)
-    return F.transform(
-        F.sequence(F.lit(0), _allowed(n, k)),
-        lambda i: _key(word, n, i, _cut(n, k, i), _cut(n, k, i + 1) - _cut(n, k, i)),
-    )
+def _pieces(unknown: DataFrame, k: int) -> DataFrame:
+    sized = unknown.withColumn("len", F.length("word"))
+    piece = F.substring("word", F.col("begin") + 1, F.col("size"))
+    return _parts(sized, k).select("word", "len", "part", piece.alias("piece"))
 
 
-def _places(match: Column, k: int, lengths: Column) -> Column:
+def _places(vocabulary: DataFrame, k: int) -> DataFrame:
     """Keys of all pieces that words of ``lengths`` could share with ``match``.
 
-    With the edits split at a piece left whole, fewer than its number lie before
+    With the edits split at a piece left whole, no more than its number lie before
     it and the rest after it, so it has moved by no more on either side.
     """
-    m = F.length(match)
-
-    def for_length(n: Column) -> Column:
-        def for_part(i: Column) -> Column:
-            begin, after = _cut(n, k, i), _allowed(n, k) - i
-            size = _cut(n, k, i + 1) - begin
-            low = F.greatest(begin - i, begin + m - n - after, F.lit(0))
-            high = F.least(begin + i, begin + m - n + after, m - size)
-            places = F.filter(F.sequence(low, F.greatest(low, high)), lambda at: at <= high)
-            return F.transform(places, lambda at: _key(match, n, i, at, size))
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), _allowed(n, k)), for_part))
-
-    near = F.filter(lengths, lambda n: F.abs(n - m) <= _allowed(n, k))
-    return F.array_distinct(F.flatten(F.transform(near, for_length)))
+    longer = F.length("match") - F.col("len")
+    sized = vocabulary.select("match", F.explode("lengths").alias("len")).where(
+        F.abs(longer) <= F.least(F.lit(k), F.col("len") - 1)
+    )
+    begin, part, after = F.col("begin"), F.col("part"), F.col("allowed") - F.col("part")
+    ranged = (
+        _parts(sized, k)
+        .withColumn("low", F.greatest(begin - part, begin + longer - after, F.lit(0)))
+        .withColumn("high", F.least(begin + part, begin + longer + after, F.length("match") - F.col("size")))
+        .where("low <= high")
+    )
+    return ranged.withColumn("place", F.explode(F.sequence("low", "high"))).select(
+        "match", "len", "part", F.substring("match", F.col("place") + 1, F.col("size")).alias("piece")
+    )
 
 
 def candidate_pairs(unknown: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
@@ -125,11 +125,10 @@ def candidate_pairs(unknown: DataFrame, vocabulary: DataFrame, k: int) -> DataFr
     # many keys come of few words: spread these first
     cores = vocabulary.sparkSession.sparkContext.defaultParallelism
     v = vocabulary.select(F.col("word").alias("match")).distinct().repartition(cores, "match")
-    v = v.withColumn("_lengths", lengths)
-    places = v.select("match", F.explode(_places(F.col("match"), k, F.col("_lengths"))).alias("key"))
+    places = _places(v.withColumn("lengths", lengths), k)
     return (
-        w.select("word", F.explode(_pieces(F.col("word"), k)).alias("key"))
-        .join(places.hint("merge"), "key")
+        _pieces(w, k)
+        .join(places.hint("merge"), KEY)
         .select("word", "match", F.levenshtein("word", "match", k).alias("distance"))
         .filter((F.col("distance") >= 0) & (F.col("distance") < F.length("word")))
         .distinct()
