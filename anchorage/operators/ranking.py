@@ -32,6 +32,16 @@ def quantile_chunk(df: DataFrame, column: str, chunks: int = CHUNKS) -> DataFram
     )
 
 
+def class_sizes(df: DataFrame, column: str) -> Column:
+    """Rows of each value of a column with few values, as a map.
+
+    A scalar subquery of one row per value, so no row meets another by the
+    value: a join on a key of two values would send each half to one task.
+    """
+    sizes = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.agg(F.map_from_entries(F.collect_list(F.struct(column, "_n")))).scalar()
+
+
 def time_chunk(df: DataFrame, column: str, unit: str = "month") -> DataFrame:
     """Add a calendar chunk of a timestamp; needs no pass over the data."""
     last = F.lit("9999-12-31").cast("timestamp")

@@ -1,10 +1,12 @@
 """Plans stay free of nested-loop joins, Python evaluation and full scans."""
 
 import os
+import re
 
 import pytest
 
 import __spark_entry__ as contract
+from anchorage.operators import model, splits
 from anchorage.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -38,3 +40,15 @@ def test_window_events_shuffle_rows_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # events once, the anchor for its aggregate and its join
     assert text.count("Exchange hashpartitioning") == 3 and "SortMergeJoin" in text
+
+
+def test_class_sizes_need_no_join_on_the_label(spark, tmp_path):
+    spark.range(40).selectExpr("id AS subject_id", "CAST(id % 2 AS int) AS label").write.parquet(f"{tmp_path}/s")
+    subjects = spark.read.parquet(f"{tmp_path}/s")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (model.with_class_weights(subjects), splits.stratified_folds(subjects)):
+            # a join on the label and a chunk is meant, one on the label alone is not
+            assert not re.search(r"Join \[label#\d+\],", plan(df))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
