@@ -29,15 +29,17 @@ def concept_spans(documents: DataFrame) -> DataFrame:
     """Distinct (doc_id, concept_id, begin, end) of each document.
 
     A concept belongs to an array by its id, and an annotated element points
-    to the array; both links are equality joins within the document.  Every
-    document is parsed once, into a stage table of its linked elements.
+    to the array; both links are equality joins within the document.  Elements
+    without an offset are left out: the lists of attributes are zipped by place,
+    so each of them lists the same elements.  A stage table holds the linked
+    elements, so the joins do not parse again.
     """
     options = {"attributePrefix": "@", "rowTag": "CAS"}
     links = documents.select(
         "doc_id",
         F.from_xml("xml", _LINKS, options).alias("links"),
         *[
-            F.xpath("xml", F.lit(f"/*/*[@{REFERENCE}]/@{a}")).alias(n)
+            F.xpath("xml", F.lit(f"/*/*[@{REFERENCE} and @begin and @end]/@{a}")).alias(n)
             for a, n in (("begin", "b"), ("end", "e"), (REFERENCE, "r"))
         ],
     )

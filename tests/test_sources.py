@@ -30,6 +30,12 @@ def test_annotation_xml(spark, tmp_path):
     assert rows(annotations.concept_spans(docs)) == [("item1", "C001", 0, 21), ("item1", "C002", 8, 13)]
 
 
+@pytest.mark.parametrize("lost", [' begin="0"', ' end="21"'])
+def test_annotation_without_an_offset_is_left_out(spark, frame, lost):
+    docs = frame([("item1", XML.replace(lost, "", 1))], "doc_id string, xml string")
+    assert rows(annotations.concept_spans(docs)) == [("item1", "C002", 8, 13)]
+
+
 def test_delimited_round_trip(spark, tmp_path, frame):
     df = frame([(1, 'say "hi"; ok'), (2, None), (3, "a,b")], "id long, label string")
     path = str(tmp_path / "t.csv")
