@@ -50,13 +50,18 @@ def unit_bags(
 
 
 def clean_bag_items(bag: DataFrame, phases: tuple[str, ...] = ("start",)) -> DataFrame:
-    """Drop phase-tagged items of other phases; tidy the kept ones' ids."""
+    """Drop phase-tagged items of other phases; tidy the kept ones' ids.
+
+    Counts are added up once more, as ids that differ in quotes become one.
+    """
     phase = phase_of("item_id")
     tagged = phase.isin("start", "end")
-    return bag.filter(~tagged | phase.isin(*phases)).withColumn(
+    tidied = bag.filter(~tagged | phase.isin(*phases)).withColumn(
         "item_id",
         F.when(tagged, clean_composite_key("item_id", "all")).otherwise(F.col("item_id")),
     )
+    keys = [c for c in bag.columns if c != "cnt"]
+    return tidied.groupBy(*keys).agg(F.sum("cnt").alias("cnt")).select(*bag.columns)
 
 
 def subject_spine(bag: DataFrame) -> DataFrame:

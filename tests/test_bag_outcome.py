@@ -92,3 +92,9 @@ def test_population_counts(frame):
     people = outcome.population(p, outcome.EVENT_BEFORE_END, s, ["u"])
     assert rows(people) == [(1, "u", 1.0, 1)]
     assert rows(outcome.cohort_counts(people, ["unit"])) == [("u", 1, 1)]
+
+
+def test_ids_that_become_one_are_counted_together(frame):
+    counted = [(1, '("a","b",start)', 2), (1, "a,b,start", 3), (1, "a,b,end", 5), (2, "a,b,start", 1), (2, "x", 4)]
+    got = bag.clean_bag_items(frame(counted, "subject_id long, item_id string, cnt long"))
+    assert rows(got, "subject_id", "item_id", "cnt") == [(1, "a,b,start", 5), (2, "a,b,start", 1), (2, "x", 4)]
