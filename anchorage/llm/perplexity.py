@@ -8,9 +8,15 @@ key space, 64^4 + 64^3 + 64^2 + 64 types (200 MB, some 2 MB on one alphabet), so
 it can be broadcast.  It is stored as sorted arrays of n-gram keys and log
 probabilities, searched by halving.
 
+What a text says in words is judged by the model of ``wordmodel``, which grows with
+the corpus.
+
 Each language has a band of log perplexity, from its quartiles over the documents
 that pass the base rules: ``FENCE`` interquartile ranges beyond them, and
-``LEAST`` at least.  Documents outside are rejected.
+``LEAST`` at least.  Documents outside are rejected.  Word perplexity has an upper
+bound by language: ``WORD_FENCE`` times the range from the median to the third
+quartile above the latter, and ``WORD_LEAST`` at least.  It has no lower one, as copies would
+be below it.
 
 A null text has no words and fails the base rules; its perplexity is null.  A null
 language has a band of its own.  Repeated rows are judged alike, and counted each.
@@ -29,11 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import row_slices, stage, strings
+from .wordmodel import word_scores
 
 ORDER, BITS = 4, 6
 CLASSES = 1 << BITS
 #: Width of a band: interquartile ranges beyond the quartiles, and the least range in nats.
 FENCE, LEAST = 4.0, 0.03
+#: The same above the third quartile of word perplexity, in ranges from the median to it.
+WORD_FENCE, WORD_LEAST = 2.0, 0.1
 #: Base rules: words a text needs, and per cent of words in repeated windows that it may have.
 MIN_WORDS, MAX_REPEATED = 50, 50
 
@@ -42,7 +51,7 @@ _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOL = re.compile(f"[{re.escape(SYMBOLS)}]")
 
 SCORED = (
-    "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "key long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, log_perplexity double"
 )
 
@@ -220,11 +229,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 with np.errstate(invalid="ignore", divide="ignore"):
                     mean = pa.array(-sums / sizes, mask=sizes == 0)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("lang"), *map(pa.array, told), mean],
-                    ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"],
+                    [part.column("key"), part.column("doc_id"), part.column("lang"), *map(pa.array, told), mean],
+                    ["key", "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(rate, SCORED)
+    return docs.select(F.xxhash64("text").alias("key"), F.col("doc_id").cast("long"), "lang", "text").mapInArrow(rate, SCORED)
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -232,23 +241,28 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """Counts and both perplexities of every row, by the hash of its text."""
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    return stage(score(docs, model).withColumn("base_failed", failed), "scored")
+    rows = score(docs, model).withColumn("base_failed", failed)
+    words = word_scores(docs, model)
+    return stage(rows.join(words, "key", "left"), "scored")
 
 
 def bands_of(rows: DataFrame) -> DataFrame:
-    """lang, lower and upper: the band of log perplexity of each language."""
+    """lang, lower, upper and word_upper: the band of log perplexity of each language."""
     quartiles = F.percentile_approx("log_perplexity", [0.25, 0.75], 1000)
-    bands = rows.where("not base_failed").groupBy("lang").agg(quartiles.alias("q"))
+    by_word = F.percentile_approx("word_log_perplexity", [0.5, 0.75], 1000)
+    bands = rows.where("not base_failed").groupBy("lang").agg(quartiles.alias("q"), by_word.alias("w"))
     reach = FENCE * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST))
-    return bands.select("lang", (F.col("q")[0] - reach).alias("lower"), (F.col("q")[1] + reach).alias("upper"))
+    above = WORD_FENCE * F.greatest(F.col("w")[1] - F.col("w")[0], F.lit(WORD_LEAST))
+    return bands.select(
+        "lang", (F.col("q")[0] - reach).alias("lower"), (F.col("q")[1] + reach).alias("upper"), (F.col("w")[1] + above).alias("word_upper")
+    )
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """Counts, perplexity, base_failed and kept of every row."""
-    rows = scored(docs, train(stage(grams(docs), "grams")))
+def judged(rows: DataFrame) -> DataFrame:
     bands = bands_of(rows).withColumnRenamed("lang", "_lang")
-    inside = F.col("log_perplexity").between(F.col("lower"), F.col("upper"))
+    inside = F.col("log_perplexity").between(F.col("lower"), F.col("upper")) & (F.col("word_log_perplexity") <= F.col("word_upper"))
     return (
         rows.join(bands, F.col("lang").eqNullSafe(F.col("_lang")), "left")
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
@@ -256,28 +270,14 @@ def judge(docs: DataFrame) -> DataFrame:
     )
 
 
-def passing(docs: DataFrame) -> DataFrame:
-    """The rows, with all their columns, that the rules keep.
+def judge(docs: DataFrame) -> DataFrame:
+    """Counts, perplexities, base_failed and kept of every row."""
+    return judged(scored(docs, train(stage(grams(docs), "grams")))).drop("key")
 
-    Texts are scored again where they are dropped, which spares a shuffle of all
-    texts; the bands, one row per language, travel with the model.
-    """
-    model = train(stage(grams(docs), "grams"))
-    bands = {r["lang"]: (r["lower"], r["upper"]) for r in bands_of(scored(docs, model)).collect()}
-    shared = docs.sparkSession.sparkContext.broadcast((model, bands))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, limits = shared.value
-        for batch in batches:
-            for part in row_slices(batch, "text"):
-                good = []
-                for lang, text in zip(part.column("lang").to_pylist(), strings(part.column("text"))):
-                    n_words, _, _, _, repeated = counts(text)
-                    if n_words < MIN_WORDS or 100 * repeated > MAX_REPEATED * n_words:
-                        good.append(False)
-                        continue
-                    lower, upper = limits.get(lang, (0.0, -1.0))
-                    good.append(lower <= -float(own.score(keys(classes(text))).mean()) <= upper)
-                yield part.filter(pa.array(good, pa.bool_()))
-
-    return docs.mapInArrow(keep, docs.schema)
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows, with all their columns, that the rules keep; equal texts of a language are judged alike."""
+    rows = judged(scored(docs, train(stage(grams(docs), "grams"))))
+    bad = rows.where("not kept").select(F.col("key").alias("_key"), F.col("lang").alias("_lang")).distinct()
+    alike = (F.xxhash64("text") == F.col("_key")) & F.col("lang").eqNullSafe(F.col("_lang"))
+    return docs.join(bad, alike, "left_anti")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, strategies as st
 
-from anchorage.llm import chat, cotraining, perplexity, toxicity
+from anchorage.llm import chat, cotraining, perplexity, toxicity, wordmodel
 
 
 def test_counts_by_hand():
@@ -36,6 +36,33 @@ def test_rules_keep_plain_and_drop_odd(docs, none):
     assert perplexity.judge(none).count() == 0 and perplexity.passing(none).count() == 0
 
 
+def test_shuffled_words_are_rejected_and_the_word_model_grows(docs):
+    rng = np.random.default_rng(3)
+    turns = [rng.permutation(300) for _ in range(3)]
+    plain = []
+    for i in range(200):
+        word, said = int(rng.integers(300)), []
+        for _ in range(120):
+            said.append(f"w{word}")
+            word = int(turns[rng.integers(3)][word])
+        plain.append((i, " ".join(said)))
+    shuffled = [(1000 + i, " ".join(rng.permutation(t.split()))) for i, t in plain[:10]]
+    got = {r["doc_id"]: r["kept"] for r in perplexity.judge(docs(plain + shuffled)).collect()}
+    assert sum(got[i] for i, _ in plain) >= 190 and not any(got[i] for i, _ in shuffled)
+    kept = {r["doc_id"] for r in perplexity.passing(docs(plain + shuffled)).collect()}
+    assert kept == {i for i, k in got.items() if k}
+    more = [(i, t.replace("w", "v")) for i, t in plain]
+    assert wordmodel.pairs(docs(plain + more)).count() > 1.9 * wordmodel.pairs(docs(plain)).count()
+
+
+def test_word_probabilities_by_hand():
+    # a pair said 5 times, once by the text itself; 10 tokens of 4 kinds after its first word, 8 of its word; 100 tokens, 20 words
+    model, own = np.array([[5], [10], [4], [8]]), np.array([[1], [2], [1]])
+    word = (7 - 0.75 + 0.75 * 20 * np.exp(-3)) / 100
+    want = (4 - 0.75 + 0.75 * 4 * word) / 8
+    assert wordmodel.log_p(model, own, np.array([-3.0]), 100, 20)[0] == pytest.approx(np.log(want))
+
+
 def labelled(docs, spark):
     rows, marks = [], []
     for i in range(400):
