@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from anchorage.session import prepare, stage
 
-__all__ = ["WORD", "ranked", "read", "ready", "row_slices", "stage", "strings", "text_of"]
+__all__ = ["WORD", "ranked", "read", "ready", "row_id", "row_slices", "stage", "strings", "text_of"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: From here on numbers stand for rows without an id.
+NO_ID = 1 << 62
+
 #: Characters of text that a task holds as Python objects at once.
 SLICE_CHARS = 2_000_000
 
@@ -44,6 +47,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def row_id() -> Column:
+    """doc_id, or for rows without one a number from ``NO_ID`` on by the text; ids are below that."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
+
+
 def strings(array: pa.Array) -> list[str]:
     return ["" if x is None else x for x in array.to_pylist()]
 

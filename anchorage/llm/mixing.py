@@ -26,7 +26,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, stage, text_of
+from .common import WORD, row_id, stage, text_of
 
 SEED = "mixing"
 #: Words of a block, words of an output shard, and blocks summed at once.
@@ -296,18 +296,19 @@ def _numbered(uses: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """One row per draw with all columns of ``docs``, shuffled within shards; a partly drawn text ends early."""
     columns = docs.columns
-    # a list per doc_id: rows that share an id meet their plans in the order of size
+    # a list per id: rows that share an id meet their plans in the order of size; rows without one are told apart by text
     plans = (
-        plan(docs)
+        plan(docs.withColumn("doc_id", row_id()))
         .groupBy(F.col("doc_id").alias("_doc_id"))
         .agg(F.sort_array(F.collect_list(F.struct("size", "draws"))).alias("_plans"))
     )
     word = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     cut = F.array_join(F.slice(word, F.lit(1), F.col("_draw.words").cast("int")), "")
     whole = F.col("_draw.words") == F.col("_size")
-    order = Window.partitionBy("doc_id").orderBy("_size", "text")
+    order = Window.partitionBy("_id").orderBy("_size", "text")
     drawn = (
-        docs.join(plans, F.col("doc_id").eqNullSafe(F.col("_doc_id")))
+        docs.withColumn("_id", row_id())
+        .join(plans, F.col("_id") == F.col("_doc_id"))
         .withColumn("_size", F.regexp_count(text_of(), F.lit(WORD)))
         .withColumn("_plan", F.element_at("_plans", F.row_number().over(order)))
         .withColumn("_draw", F.explode("_plan.draws"))
@@ -316,7 +317,7 @@ def mix(docs: DataFrame) -> DataFrame:
     if "n_chars" in columns:
         drawn = drawn.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")))
     return (
-        drawn.withColumn("_order", F.xxhash64(F.lit(SEED), "doc_id", "_draw.epoch"))
+        drawn.withColumn("_order", F.xxhash64(F.lit(SEED), "_id", "_draw.epoch"))
         .repartition("_draw.shard")
         .sortWithinPartitions("_draw.shard", "_order")
         .select(*columns)

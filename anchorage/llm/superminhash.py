@@ -17,7 +17,8 @@ a stored table per step.
 
 Null, empty and blank texts have empty sets and are linked with nothing.  A text
 with fewer words than a shingle is one shingle.  Rows that share a doc_id count as
-repeated rows.  An empty table gives no rows.  Columns other than ``doc_id`` and
+repeated rows; rows without one are told apart by their text, and have a null component_id where no
+member of the component has an id.  An empty table gives no rows.  Columns other than ``doc_id`` and
 ``text`` are not read.
 """
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import row_slices, stage, strings
+from .common import NO_ID, row_id, row_slices, stage, strings
 
 #: Words of a shingle; bands, rows of a band; similarity in per cent.
 SHINGLE, BANDS, ROWS, SIMILAR = 4, 44, 7, 80
@@ -303,6 +304,13 @@ def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataF
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id of the component) and kept of every row."""
+    has_id = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
+    return _groups(docs).select(has_id("doc_id"), "n_shingles", has_id("component_id"), "kept")
+
+
+def _groups(docs: DataFrame) -> DataFrame:
+    """The same with numbers in place of missing ids."""
+    docs = docs.select(row_id().alias("doc_id"), "text")
     signed_docs = stage(signed(docs), "signed")
     full = signed_docs.where("n_shingles > 0")
     classes = stage(full.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
@@ -332,11 +340,8 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each group, with all its columns: that of the smallest doc_id, the first by text of repeated rows."""
-    kept = groups(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    first = Window.partitionBy("_kept").orderBy("text")
-    return (
-        docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")))
-        .withColumn("_turn", F.row_number().over(first))
-        .where("_turn = 1")
-        .select(*docs.columns)
-    )
+    kept = _groups(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.withColumn("_id", row_id()).join(kept, F.col("_id") == F.col("_kept"), "left_semi")
+    # an aggregate combines before the shuffle, so that many repeated rows do not meet in one task
+    first = F.min_by(F.struct(*docs.columns), F.struct("text")).alias("_first")
+    return rows.groupBy("_id").agg(first).select("_first.*")

@@ -48,6 +48,18 @@ def test_deduplicated_keeps_one_row_each(odd):
     assert rows[0].asDict().keys() == set(odd.columns)
 
 
+def test_rows_without_an_id_are_kept_and_linked(docs):
+    texts = [" ".join(f"{k}{i}" for i in range(60)) for k in "abc"]
+    near = texts[0].replace("a59", "z")
+    rows = docs([(None, texts[0]), (None, texts[0]), (None, near), (None, texts[1]), (None, texts[2]), (7, texts[2]), (None, None), (None, " ")])
+    got = Counter(r["text"] for r in sm.deduplicated(rows).collect())
+    assert sum(got[t] for t in (texts[0], near)) == 1
+    assert all(got[t] == 1 for t in (texts[1], texts[2], None, " ")) and sum(got.values()) == 5
+    told = sm.groups(rows).collect()
+    assert len(told) == 8 and {r["component_id"] for r in told} == {None, 7} and {r["doc_id"] for r in told} == {None, 7}
+    assert Counter(r["text"] for r in mixing.mix(rows.where("text is not null")).collect()).keys() >= {texts[1], near}
+
+
 @pytest.mark.parametrize("sizes", [[], [5], [8, 7, 6, 5, 4], [100, 1, 1, 1, 1, 1], list(range(1, 200))])
 def test_differencing(sizes):
     placed = sharding.differencing(sizes, 3)
