@@ -3,12 +3,13 @@
 The text view sees counts of the text alone; the metadata view sees language,
 source, length and the page of the same number: its host, address and markup.
 Each is a logistic model.  In every round a view labels the unlabelled rows it is
-surest of, as many of each class as ``SHARE`` of the pool, for the other view to
-learn from.  Then each view is calibrated on rows set apart, and a logistic model of
+surest of, ``SHARE`` of them of each class and at most ``MOST``, for the other view to
+learn from.  Every row is looked at in each round, whose label is not known or held out, and rows of
+equal features count once.  Then each view is calibrated on rows set apart, and a logistic model of
 both calibrated logits scores every document.
 
-Fits use bounded samples by a hash: ``SAMPLE`` labelled rows of each label and a
-pool of ``POOL`` rows.  Features, join and scores cover every row.  Labels are learnt
+Fits use bounded rows: a sample by a hash of ``SAMPLE`` labelled rows of each label, and
+what the rounds pick.  The search, features, join and scores cover every row.  Labels are learnt
 only from rows that are not held out.
 
 Null texts are empty, null languages, sources and missing pages are categories
@@ -31,7 +32,7 @@ from .common import row_slices, stage, strings
 from .perplexity import counts
 from .toxicity import held_out
 
-SAMPLE, POOL = 4000, 10_000
+SAMPLE, MOST = 4000, 200
 ROUNDS, SHARE, SURE = 5, 0.02, 0.9
 #: Hash buckets for each of language, source and host.
 BUCKETS = 64
@@ -146,30 +147,80 @@ class Pair:
         return self.both.p(self.calibrated(*views(rows)))
 
 
-def co_train(labelled: list, y: np.ndarray, pool: list) -> Pair:
+class Unlabelled:
+    """Distinct feature rows without a label, searched in Spark."""
+
+    def __init__(self, rows: DataFrame):
+        columns = ["content", "numbers", "buckets"]
+        keyed = rows.select(F.xxhash64(*columns).alias("key"), *columns)
+        self.rows = stage(keyed.groupBy("key").agg(*[F.first(c).alias(c) for c in columns]), "unlabelled")
+        self.n = self.rows.count()
+        self.most = max(1, min(MOST, int(SHARE * self.n)))
+
+    def surest(self, models: list[Logistic], taken: list[set[int]]) -> dict[tuple[int, float], list]:
+        """By (pupil, label): the free rows that the other view is surest of."""
+        if not self.n:
+            return {}
+        most = self.most
+        shared = self.rows.sparkSession.sparkContext.broadcast((models, [np.array(sorted(t), np.int64) for t in taken]))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # the best so far of each pupil and label: sureness, key and features
+            best: dict[tuple[int, float], list] = {}
+            own, gone = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2000):
+                    rows = batch.slice(at, 2000).to_pylist()
+                    keys = np.array([r["key"] for r in rows], np.int64)
+                    seen = views(rows)
+                    for pupil in (0, 1):
+                        p = own[1 - pupil].p(seen[1 - pupil])
+                        free = ~np.isin(keys, gone[pupil])
+                        for label, sure in ((1.0, p), (0.0, 1 - p)):
+                            good = np.flatnonzero(free & (sure >= SURE))
+                            good = good[np.lexsort((keys[good], -sure[good]))[:most]]
+                            if good.size:
+                                all_ = best.get((pupil, label), []) + [(-float(sure[i]), int(keys[i]), rows[i]) for i in good]
+                                best[pupil, label] = sorted(all_, key=lambda x: x[:2])[:most]
+            found = [{"pupil": k, "label": y, "sure": -c, **r} for (k, y), some in best.items() for c, _, r in some]
+            if found:
+                yield pa.RecordBatch.from_pylist(found, schema=told)
+
+        numbers = pa.list_(pa.float64())
+        told = pa.schema(
+            [("pupil", pa.int32()), ("label", pa.float64()), ("sure", pa.float64()), ("key", pa.int64())]
+            + [("content", numbers), ("numbers", numbers), ("buckets", pa.list_(pa.int32()))]
+        )
+        schema = "pupil int, label double, sure double, key long, content array<double>, numbers array<double>, buckets array<int>"
+        found = stage(self.rows.mapInArrow(search, schema), "surest")
+        shared.unpersist()
+        return {
+            (k, y): found.where((F.col("pupil") == k) & (F.col("label") == y)).orderBy(F.col("sure").desc(), "key").limit(most).collect()
+            for k in (0, 1)
+            for y in (1.0, 0.0)
+        }
+
+
+def co_train(labelled: list, y: np.ndarray, pool: Unlabelled) -> Pair:
     """Rounds of exchange, then calibration on a fifth of the labelled rows."""
     content, meta = views(labelled)
     apart = np.arange(len(y)) % 5 == 0
     if len({*y[~apart]}) < 2 or len({*y[apart]}) < 2:
         apart = np.zeros(len(y), bool)
     calibrate = apart if apart.any() else ~apart
-    u_content, u_meta = views(pool) if pool else (content[:0], meta[:0])
     x = [content[~apart], meta[~apart]]
     own = [y[~apart].astype(float)] * 2
-    free = [np.ones(len(pool), bool)] * 2
+    taken: list[set[int]] = [set(), set()]
     models = [Logistic.fit(*v) for v in zip(x, own)]
-    most = max(1, int(SHARE * len(pool)))
     for _ in range(ROUNDS):
-        for teacher, pupil, sees, learns in ((0, 1, u_content, u_meta), (1, 0, u_meta, u_content)):
-            if not len(pool):
-                continue
-            p = models[teacher].p(sees)
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                at = np.flatnonzero(free[pupil] & (sure >= SURE))
-                at = at[np.argsort(-sure[at], kind="stable")[:most]]
-                free[pupil] = free[pupil] & ~np.isin(np.arange(len(pool)), at)
-                x[pupil] = np.vstack([x[pupil], learns[at]])
-                own[pupil] = np.append(own[pupil], np.full(at.size, label))
+        found = pool.surest(models, taken)
+        if not any(found.values()):
+            break
+        for (pupil, label), rows in found.items():
+            if rows:
+                taken[pupil] |= {r["key"] for r in rows}
+                x[pupil] = np.vstack([x[pupil], views(rows)[pupil]])
+                own[pupil] = np.append(own[pupil], np.full(len(rows), label))
         models = [Logistic.fit(*v) for v in zip(x, own)]
     out = Pair(*models)
     yc = y[calibrate].astype(float)
@@ -188,12 +239,12 @@ def classify(docs: DataFrame, pages: DataFrame, labels: DataFrame) -> DataFrame:
     sample: list = []
     for label in (0, 1):
         sample += known.where((F.col("quality") == label) & ~held_out()).orderBy(mixed).limit(SAMPLE).collect()
-    pool = known.where("quality is null").orderBy(mixed).limit(POOL).collect()
     y = np.array([r["quality"] for r in sample])
     order = np.argsort([hash((r["doc_id"], 17)) for r in sample], kind="stable")
     if len({*y}) < 2:
         pair = Pair(constant=float(y.mean()) if len(y) else 0.5)
     else:
+        pool = Unlabelled(known.where(F.col("quality").isNull() | held_out()))
         pair = co_train([sample[i] for i in order], y[order], pool)
     shared = docs.sparkSession.sparkContext.broadcast(pair)  # a few hundred numbers
 

@@ -92,6 +92,24 @@ def test_cotraining(docs, spark, odd, none):
     assert cotraining.classify(none, pages, labels).count() == 0
 
 
+def test_cotraining_searches_every_unlabelled_row(spark):
+    # 12,000 copies of one row and a few others, one of which is the surest
+    one = [0.0] * 14
+    rows = [(one, [0.0] * 8, [1, 65, 129])] * 12_000 + [([float(i)] + one[1:], [float(i)] * 8, [i % 64, 65, 129]) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "content array<double>, numbers array<double>, buckets array<int>")
+    pool = cotraining.Unlabelled(df)
+    assert pool.n == 40
+    content = np.zeros(28)
+    content[0] = 0.5
+    text = cotraining.Logistic(np.zeros(28), np.ones(28), np.append(0.0, content))
+    meta = cotraining.Logistic(np.zeros(200), np.ones(200), np.zeros(201))
+    first = pool.surest([text, meta], [set(), set()])
+    assert len(first[1, 1.0]) == pool.most and all(r["content"][0] >= 8 for r in first[1, 1.0])
+    taken = {r["key"] for r in first[1, 1.0]}
+    again = pool.surest([text, meta], [set(), taken])
+    assert again[1, 1.0] and not taken & {r["key"] for r in again[1, 1.0]} and not first[0, 1.0]
+
+
 @given(st.text(alphabet=st.sampled_from("<|>/s[]INST\\\nab"), max_size=40))
 def test_escape_is_reversible_and_leaves_no_control(text):
     own = chat.escape(text)
