@@ -181,12 +181,8 @@ def feature_intersection(t: Tables) -> DataFrame:
     return bag.shared_items(_by_system(t, "carevue"), _by_system(t, "metavision"))
 
 
-def drop_mixed_subjects(t: Tables) -> DataFrame:
-    """Bags without subjects that hold an item of the other system.
-
-    Small parts (size 5 and less) are the other system's items.
-    """
-    b = roles.order_bag(t)
+def order_mixed_subjects(t: Tables, b: DataFrame) -> DataFrame:
+    """Subjects of the older system that hold an item of the other one: small parts (size 5 and less)."""
     foreign = t.part.filter(F.col("p_size") <= 5).select(
         F.col("p_partkey").cast("string").alias("item_id")
     )
@@ -194,7 +190,13 @@ def drop_mixed_subjects(t: Tables) -> DataFrame:
     mixed = b.join(members.select("subject_id"), "subject_id", "left_semi").join(
         foreign, "item_id", "left_semi"
     )
-    return bag.drop_subjects(b, mixed.select("subject_id").distinct())
+    return mixed.select("subject_id").distinct()
+
+
+def drop_mixed_subjects(t: Tables) -> DataFrame:
+    """Bags without subjects that hold an item of the other system."""
+    b = roles.order_bag(t)
+    return bag.drop_subjects(b, order_mixed_subjects(t, b))
 
 
 QUERIES = {

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import bag, evaluate, features, model, outcome, splits
 from ..session import stage
 from . import roles
-from .experiment import Experiment, run_cross_system, run_single_system
-from .roles import INFO, THRESHOLD, UNITS, Tables, with_roles
+from .event_queries import order_mixed_subjects
+from .experiment import SYSTEMS, Experiment, Inputs, feature_bag, run_cross_system, run_single_system, usable_bag
+from .roles import INFO, UNITS, Tables, with_roles
 
 SEED = 7
 
@@ -119,35 +122,52 @@ def class_weights(t: Tables) -> DataFrame:
 
 
 def lr_grid_search(t: Tables) -> DataFrame:
-    """AUC of each fold and C on the older system's subjects."""
-    eligible = outcome.eligible_subjects(_profile(t), outcome.EVENT_BEFORE_END, (0,), INFO)
-    b = stage(bag.filter_bag(_split_bags(t)[0], eligible, THRESHOLD), "bag")
-    people = outcome.population(
-        _profile(t), outcome.EVENT_BEFORE_END, bag.subject_spine(b), UNITS
-    )
-    train = stage(splits.stratified_folds(people), "people")
-    made = model.build_matrices(b, train, train.limit(0), use_severity=False)
-    return model.grid_search(made.train, range(1, 6)).metrics(t.spark)
+    """AUC of each fold and C, by system, gap and severity setting."""
+    inputs, parts = _inputs(t), []
+    for system in SYSTEMS:
+        run = Experiment(system=system)
+        usable = stage(usable_bag(inputs, [system]), "usable")
+        for gap in run.gaps:
+            b, spine = feature_bag(run, inputs, usable, gap)
+            people = outcome.population(inputs.profile, run.outcome, spine, UNITS)
+            train = stage(splits.stratified_folds(people, run.folds), "people")
+            for use in run.severity:
+                made = model.build_matrices(b, train, train.limit(0), use)
+                cells = model.grid_search(made.train, range(1, run.folds + 1), run.grid).metrics(t.spark)
+                tags = {"system": F.lit(system), "gap": F.lit(float(gap)), "severity": F.lit(use)}
+                parts.append(cells.withColumns(tags))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def single_system_eval(t: Tables) -> DataFrame:
-    run = Experiment(system="metavision", iterations=1, gaps=(0,), severity=(True,))
-    return run_single_system(run, _inputs(t))["metrics"]
+    """AUCs and cohort counts of all repeats, gaps and severity settings of both systems."""
+    return _evaluated(t, [(run_single_system, Experiment(system=s)) for s in SYSTEMS])
 
 
 def cross_system_eval(t: Tables) -> DataFrame:
-    run = Experiment(system="carevue", intersection=True, gaps=(0,))
-    return run_cross_system(run, _inputs(t))["metrics"]
+    """AUCs, bootstrap intervals and cohort counts, with shared and with all items, in both directions."""
+    runs = [Experiment(system=s, intersection=i) for i in (True, False) for s in SYSTEMS]
+    return _evaluated(t, [(run_cross_system, r) for r in runs])
 
 
-def _inputs(t: Tables):
-    from .experiment import Inputs
+def _evaluated(t: Tables, runs: list) -> DataFrame:
+    """Result tables of the runs under each other; ``result`` names the table, ``run`` and ``intersection`` the run."""
+    inputs, parts = _inputs(t), []
+    for function, run in runs:
+        for name, table in function(run, inputs).items():
+            if name in ("metrics", "intervals", "counts"):
+                tags = {"result": F.lit(name), "run": F.lit(run.name), "intersection": F.lit(run.intersection)}
+                parts.append(table.withColumns(tags))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
+
+def _inputs(t: Tables) -> Inputs:
+    b = stage(roles.order_bag(t), "bag")
     return Inputs(
-        bag=roles.order_bag(t),
-        profile=_profile(t),
+        bag=b,
+        profile=stage(_profile(t), "profile"),
         item_concepts=roles.part_concepts(t).withColumn("method", F.lit("all")),
-        mixed_subjects=None,
+        mixed_subjects=stage(order_mixed_subjects(t, b), "mixed"),
         units=UNITS,
         info=INFO,
     )
