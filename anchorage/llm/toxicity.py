@@ -217,7 +217,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
     rows = []
     for label in (0, 1):
         some = known.where((F.col("toxic") == label) & (F.length("text") <= 8 * TRAIN_WORDS)).where(size <= TRAIN_WORDS)
-        rows += some.orderBy(mixed, "doc_id").limit(SAMPLE).select("text", "lang", "toxic").collect()
+        # a row for each text, without its text until the sample is drawn, so that copies do not fill it
+        some = some.select(mixed.alias("_mixed"), "doc_id", "text", "lang", "toxic")
+        first = some.groupBy("_mixed").agg(F.min("doc_id").alias("doc_id")).orderBy("_mixed").limit(SAMPLE)
+        rows += some.join(F.broadcast(first), ["_mixed", "doc_id"]).select("text", "lang", "toxic").dropDuplicates(["text"]).collect()
     distinct = list({r["text"]: r for r in rows}.values())
     distinct.sort(key=lambda r: zlib.crc32(r["text"].encode("utf-8", "surrogatepass")))
     texts, y = [pieces_of(words_of(r["text"])) for r in distinct], np.array([r["toxic"] for r in distinct])

@@ -83,6 +83,19 @@ def test_toxicity_held_out(docs, spark, odd, none):
     assert toxicity.classify(odd, toxicity.train(odd, labels.where("false"))).where("score = 0.5").count() == odd.count()
 
 
+def test_copies_do_not_fill_the_toxicity_sample(docs, spark, monkeypatch):
+    rows, labels = labelled(docs, spark)
+    copies = docs([(1000 + k * 50 + i, f"the clean text {k} that is often said") for k in range(8) for i in range(50)])
+    more = spark.range(1000, 1400).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    seen = []
+    monkeypatch.setattr(toxicity, "SAMPLE", 40)
+    monkeypatch.setattr(toxicity, "pieces_of", lambda words: seen.append(words))
+    monkeypatch.setattr(toxicity, "fit", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        toxicity.train(rows.unionByName(copies), labels.unionByName(more))
+    assert len(seen) == 80
+
+
 def test_cotraining(docs, spark, odd, none):
     rows, labels = labelled(docs, spark)
     pages = spark.createDataFrame([(1, "https://a.b/c?d", "<p>x<a href=1>"), (2, None, None)], "page_id long, url string, html string")
