@@ -61,7 +61,7 @@ def op6_differencing_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_superminhash_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return superminhash.groups(read(spark, folder, "documents"))
+    return superminhash.groups(read(spark, folder, "documents"), 4)
 
 
 def op8_schema_chat(spark: SparkSession, folder: str) -> DataFrame:

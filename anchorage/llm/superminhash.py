@@ -140,13 +140,13 @@ def doubtful(first: int, others: np.ndarray, size: int = BANDS * ROWS, similar:
     return (j - DEVIATIONS * deviation) * size
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """Set size, digest and band keys of every document, and a sketch: a byte for each slot, four for each band key."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_slices(batch, "text", 1_000_000):
-                sets = [shingles(t) for t in strings(part.column("text"))]
+                sets = [shingles(t, words) for t in strings(part.column("text"))]
                 full = [k for k, s in enumerate(sets) if s.size]
                 sign_of = signatures([sets[k] for k in full])
                 keys, marks = bands(sign_of), mix(sign_of.view(np.uint64)).astype(np.uint8)
@@ -166,13 +166,13 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, SIGNED)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, words: int = SHINGLE) -> DataFrame:
     """id and the full set, as sorted 64-bit numbers, of the documents in ``ids``."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_slices(batch, "text"):
-                sets = [shingles(t).tobytes() for t in strings(part.column("text"))]
+                sets = [shingles(t, words).tobytes() for t in strings(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], ["id", "members"])
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
@@ -302,16 +302,16 @@ def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataF
     return sorted_cells.mapInArrow(match, "a long, b long")
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id of the component) and kept of every row."""
     has_id = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
-    return _groups(docs).select(has_id("doc_id"), "n_shingles", has_id("component_id"), "kept")
+    return _groups(docs, words).select(has_id("doc_id"), "n_shingles", has_id("component_id"), "kept")
 
 
-def _groups(docs: DataFrame) -> DataFrame:
+def _groups(docs: DataFrame, words: int) -> DataFrame:
     """The same with numbers in place of missing ids."""
     docs = docs.select(row_id().alias("doc_id"), "text")
-    signed_docs = stage(signed(docs), "signed")
+    signed_docs = stage(signed(docs, words), "signed")
     full = signed_docs.where("n_shingles > 0")
     classes = stage(full.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
     # one row for each class; equal sets have equal bands and sketches
@@ -321,7 +321,7 @@ def _groups(docs: DataFrame) -> DataFrame:
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("key")
     members = stage(spread.join(shared, "key"), "members")
     ids = stage(members.select("id").distinct(), "candidates")
-    sets = stage(sets_of(docs, ids), "sets")
+    sets = stage(sets_of(docs, ids, words), "sets")
     sketches = stage(one.select("id", "sketch").join(ids, "id", "left_semi"), "sketches")
     labels = ids.select("id", F.col("id").alias("label"))
     for number, some in enumerate((members.where(F.col("band") < FIRST_BANDS), members)):
@@ -338,9 +338,9 @@ def _groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """One row of each group, with all its columns: that of the smallest doc_id, the first by text of repeated rows."""
-    kept = _groups(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = _groups(docs, words).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     rows = docs.withColumn("_id", row_id()).join(kept, F.col("_id") == F.col("_kept"), "left_semi")
     # an aggregate combines before the shuffle, so that many repeated rows do not meet in one task
     first = F.min_by(F.struct(*docs.columns), F.struct("text")).alias("_first")

@@ -60,6 +60,15 @@ def test_rows_without_an_id_are_kept_and_linked(docs):
     assert Counter(r["text"] for r in mixing.mix(rows.where("text is not null")).collect()).keys() >= {texts[1], near}
 
 
+def test_pipeline_takes_five_word_shingles(docs, spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(200)]
+    other = [f"x{i}" if i in (20, 60, 100, 140, 180) else w for i, w in enumerate(words)]
+    rows = docs([(1, " ".join(words)), (2, " ".join(other))])
+    assert corpus_pipeline.drop_near_duplicates(spark, rows, "").count() == 2 and sm.deduplicated(rows).count() == 1
+
+
 @pytest.mark.parametrize("sizes", [[], [5], [8, 7, 6, 5, 4], [100, 1, 1, 1, 1, 1], list(range(1, 200))])
 def test_differencing(sizes):
     placed = sharding.differencing(sizes, 3)
