@@ -30,9 +30,3 @@ def spark(tmp_path_factory):
 def frame(spark):
     """Rows and a DDL schema to a DataFrame."""
     return lambda rows, schema: spark.createDataFrame(rows, schema)
-
-
-def rows(df, *columns):
-    """Sorted tuples of the given columns (all if none)."""
-    picked = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in picked.collect()), key=lambda r: tuple(map(str, r)))

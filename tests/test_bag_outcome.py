@@ -1,7 +1,7 @@
 import pytest
 
 from anchorage.operators import bag, outcome
-from conftest import rows
+from helpers import rows
 
 BAG = "subject_id long, item_id string, cnt long"
 PROFILE = "subject_id long, unit string, severity double, min_to_end double, min_to_death double"

@@ -3,7 +3,7 @@ from datetime import datetime as dt, timedelta
 import pytest
 
 from anchorage.operators import cohort
-from conftest import rows
+from helpers import rows
 
 T0 = dt(2100, 1, 1)
 

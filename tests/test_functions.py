@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from anchorage.functions import keys, text, timing
-from conftest import rows
+from helpers import rows
 
 PAIR = "a timestamp_ntz, b timestamp_ntz"
 

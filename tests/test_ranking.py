@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window as W, functions as F
 
 from anchorage.operators import ranking
-from conftest import rows
+from helpers import rows
 
 
 @pytest.fixture

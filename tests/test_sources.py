@@ -4,7 +4,7 @@ import pytest
 
 from anchorage.operators import extract
 from anchorage.sources import annotations, files, results, warehouse
-from conftest import rows
+from helpers import rows
 
 XML = """<?xml version="1.0" encoding="UTF-8"?>
 <CAS version="2">

@@ -3,7 +3,7 @@ from datetime import datetime as dt, timedelta
 from anchorage.operators import extract
 from anchorage.plans.study import build_study
 from anchorage.sources import warehouse
-from conftest import rows
+from helpers import rows
 
 T0 = dt(2100, 1, 1, 6)
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from anchorage.operators import concepts, vocabulary
-from conftest import rows
+from helpers import rows
 
 SPANS = "doc_id string, concept_id string, begin int, end int"
 
