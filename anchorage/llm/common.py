@@ -7,13 +7,14 @@ import tempfile
 from collections.abc import Iterator, Sequence
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from anchorage.session import prepare, stage
 
-__all__ = ["WORD", "ranked", "read", "ready", "row_id", "row_slices", "stage", "strings", "text_of"]
+__all__ = ["WORD", "ranked", "read", "ready", "row_id", "row_slices", "stage", "strings", "text_of", "utf8"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,6 +57,15 @@ def strings(array: pa.Array) -> list[str]:
     return ["" if x is None else x for x in array.to_pylist()]
 
 
+def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts in a row, and the places where each starts, with the end of the last."""
+    own = array.fill_null("").cast(pa.large_binary())
+    _, offsets, data = own.buffers()
+    starts = np.frombuffer(offsets, np.int64)[own.offset : own.offset + len(own) + 1]
+    held = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return held[starts[0] : starts[-1]], starts - starts[0]
+
+
 def row_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch with about ``limit`` bytes of text each, one row at least."""
     sizes = pc.binary_length(batch.column(column).cast(pa.large_string())).fill_null(0).to_pylist()

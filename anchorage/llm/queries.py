@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, cotraining, grammar, merkle, mixing, packing, perplexity, sharding, superminhash, toxicity
+from . import chat, cotraining, grammar, infill, merkle, mixing, packing, perplexity, sharding, superminhash, toxicity
 from .common import WORD, read, stage
 
 SEQUENCE = 2048
@@ -83,6 +83,18 @@ def op10_merkle_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.compare_edited(read(spark, folder, "documents"))
 
 
+def op12_exception_index_infill(spark: SparkSession, folder: str) -> DataFrame:
+    return infill.transform(read(spark, folder, "documents")).select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_repair_token_files": op1_repair_token_files,
     "op2_splitting_tree_mix": op2_splitting_tree_mix,
@@ -94,6 +106,7 @@ QUERIES = {
     "op8_schema_chat": op8_schema_chat,
     "op9_perplexity_rules": op9_perplexity_rules,
     "op10_merkle_fingerprints": op10_merkle_fingerprints,
+    "op12_exception_index_infill": op12_exception_index_infill,
 }
 
 #: The mix in plain SQL: targets by running sums, words by a document's place in its permuted source.
@@ -130,4 +143,29 @@ SELECT doc_id, size, source_size, target,
 FROM laid
 """
 
-ORACLES: dict[str, str] = {"op2_splitting_tree_mix": MIX_SQL}
+#: The transformation in plain SQL: substrings by code points.
+INFILL_SQL = """
+WITH drawn AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents
+), numbers AS (
+    SELECT doc_id, text, length(text) AS n,
+           ('0x' || digest[1:8])::BIGINT % (length(text) + 1) AS one, ('0x' || digest[9:16])::BIGINT % (length(text) + 1) AS two,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                     OR ('0x' || digest[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+                WHEN ('0x' || digest[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM drawn
+), cut AS (
+    SELECT *, least(one, two) AS a, greatest(one, two) AS b FROM numbers
+), parts AS (
+    SELECT *, substring(text, 1, a) AS head, substring(text, a + 1, b - a) AS moved, substring(text, b + 1) AS tail FROM cut
+)
+SELECT doc_id, n, form,
+       CASE WHEN form != 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form != 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || moved
+                        WHEN 'spm' THEN '<S>' || tail || '<P>' || head || '<M>' || moved ELSE text END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+ORACLES: dict[str, str] = {"op2_splitting_tree_mix": MIX_SQL, "op12_exception_index_infill": INFILL_SQL}
