@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, cotraining, grammar, infill, merkle, mixing, packing, perplexity, sharding, superminhash, toxicity
+from . import chat, cotraining, grammar, infill, merkle, mixing, packing, periods, perplexity, sharding, superminhash, toxicity
 from .common import WORD, read, stage
 
 SEQUENCE = 2048
@@ -83,6 +83,37 @@ def op10_merkle_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.compare_edited(read(spark, folder, "documents"))
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, by a checksum of doc_id, with a periodic end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    docs = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    docs = docs.withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("words"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    docs = docs.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times))
+    planted = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), F.col("n") - F.col("a")))
+    return docs.select("doc_id", F.when(F.col("p").isNotNull(), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_tiled_periods(spark: SparkSession, folder: str) -> DataFrame:
+    found = periods.described(with_planted_periods(read(spark, folder, "documents")))
+    best = found.withColumn("runs", F.coalesce("runs", F.expr("cast(array() as array<struct<start: bigint, period: bigint, length: bigint>>)")))
+    best = best.withColumn("best", periods.strongest(F.col("runs")))
+    line = lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_exception_index_infill(spark: SparkSession, folder: str) -> DataFrame:
     return infill.transform(read(spark, folder, "documents")).select(
         "doc_id",
@@ -106,6 +137,7 @@ QUERIES = {
     "op8_schema_chat": op8_schema_chat,
     "op9_perplexity_rules": op9_perplexity_rules,
     "op10_merkle_fingerprints": op10_merkle_fingerprints,
+    "op11_tiled_periods": op11_tiled_periods,
     "op12_exception_index_infill": op12_exception_index_infill,
 }
 
