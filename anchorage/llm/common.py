@@ -59,7 +59,7 @@ def strings(array: pa.Array) -> list[str]:
 
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts in a row, and the places where each starts, with the end of the last."""
-    own = array.fill_null("").cast(pa.large_binary())
+    own = array.cast(pa.large_binary()).fill_null(b"")
     _, offsets, data = own.buffers()
     starts = np.frombuffer(offsets, np.int64)[own.offset : own.offset + len(own) + 1]
     held = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -68,7 +68,7 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def row_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch with about ``limit`` bytes of text each, one row at least."""
-    sizes = pc.binary_length(batch.column(column).cast(pa.large_string())).fill_null(0).to_pylist()
+    sizes = pc.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0).to_pylist()
     first, held = 0, 0
     for i, n in enumerate(sizes):
         if i > first and held + n > limit:

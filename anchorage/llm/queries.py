@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, cotraining, grammar, infill, merkle, mixing, packing, periods, perplexity, sharding, superminhash, toxicity
+from . import chat, cotraining, grammar, infill, merkle, mixing, packing, periods, perplexity, sharding, suffixes, superminhash, toxicity
 from .common import WORD, read, stage
 
 SEQUENCE = 2048
@@ -126,6 +126,17 @@ def op12_exception_index_infill(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_interval_expansion_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    return suffixes.without_repeats(read(spark, folder, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_repair_token_files": op1_repair_token_files,
     "op2_splitting_tree_mix": op2_splitting_tree_mix,
@@ -139,6 +150,7 @@ QUERIES = {
     "op10_merkle_fingerprints": op10_merkle_fingerprints,
     "op11_tiled_periods": op11_tiled_periods,
     "op12_exception_index_infill": op12_exception_index_infill,
+    "op13_interval_expansion_dedup": op13_interval_expansion_dedup,
 }
 
 #: The mix in plain SQL: targets by running sums, words by a document's place in its permuted source.
