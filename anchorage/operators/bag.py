@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.keys import clean_composite_key, phase_of
@@ -69,19 +71,19 @@ def subject_spine(bag: DataFrame) -> DataFrame:
     return bag.select("subject_id").distinct()
 
 
-def document_frequency(bag: DataFrame) -> DataFrame:
-    """Subjects per item.  Bag rows are unique, so a plain count is enough."""
+def document_frequency(bag: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Subjects per item, within each group of ``by``.  Bag rows are unique, so a plain count is enough."""
     return (
         bag.filter(F.col("cnt") != 0)
-        .groupBy("item_id")
+        .groupBy(*by, "item_id")
         .agg(F.count(F.lit(1)).alias("df"))
     )
 
 
-def frequent_items(bag: DataFrame, threshold: int = 5) -> DataFrame:
-    """Bag restricted to items held by strictly more than ``threshold`` subjects."""
-    kept = document_frequency(bag).filter(F.col("df") > threshold)
-    return bag.join(kept.select("item_id"), "item_id", "left_semi")
+def frequent_items(bag: DataFrame, threshold: int = 5, by: Sequence[str] = ()) -> DataFrame:
+    """Bag restricted to items held by strictly more than ``threshold`` subjects (of their group)."""
+    kept = document_frequency(bag, by).filter(F.col("df") > threshold)
+    return bag.join(kept.drop("df"), [*by, "item_id"], "left_semi")
 
 
 def filter_bag(
@@ -97,7 +99,7 @@ def filter_bag(
     return frequent_items(kept, threshold)
 
 
-def concept_rollup(bag: DataFrame, item_concepts: DataFrame) -> DataFrame:
+def concept_rollup(bag: DataFrame, item_concepts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts per concept; every concept of an item gets its full count.
 
     Concepts without a count vanish.  Subjects left with none are kept by the
@@ -106,7 +108,7 @@ def concept_rollup(bag: DataFrame, item_concepts: DataFrame) -> DataFrame:
     pairs = item_concepts.select("item_id", "concept_id").distinct()
     return (
         bag.join(pairs, "item_id")
-        .groupBy("subject_id", "concept_id")
+        .groupBy(*by, "subject_id", "concept_id")
         .agg(F.sum("cnt").alias("cnt"))
         .filter(F.col("cnt") > 0)
         .withColumnRenamed("concept_id", "item_id")
@@ -129,14 +131,14 @@ def mapped_item_ids(item_concepts: DataFrame) -> DataFrame:
     )
 
 
-def shared_items(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Items that occur in both bags."""
-    present = F.col("cnt") > 0
+def shared_items(train: DataFrame, test: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Items that occur in both bags (of their group)."""
+    present, columns = F.col("cnt") > 0, [*by, "item_id"]
     return (
         train.filter(present)
-        .select("item_id")
+        .select(*columns)
         .distinct()
-        .join(test.filter(present).select("item_id"), "item_id", "left_semi")
+        .join(test.filter(present).select(*columns), columns, "left_semi")
     )
 
 

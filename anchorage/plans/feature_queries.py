@@ -6,11 +6,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import bag, evaluate, features, model, outcome, splits
+from ..operators import bag, evaluate, features, gridfit, model, outcome, splits
 from ..session import stage
 from . import roles
 from .event_queries import order_mixed_subjects
-from .experiment import SYSTEMS, Experiment, Inputs, feature_bag, run_cross_system, run_single_system, usable_bag
+from .experiment import SYSTEMS, Experiment, Inputs, feature_bags, run_cross_system, run_single_system, usable_bag
 from .roles import INFO, UNITS, Tables, with_roles
 
 SEED = 7
@@ -126,16 +126,12 @@ def lr_grid_search(t: Tables) -> DataFrame:
     inputs, parts = _inputs(t), []
     for system in SYSTEMS:
         run = Experiment(system=system)
-        usable = stage(usable_bag(inputs, [system]), "usable")
-        for gap in run.gaps:
-            b, spine = feature_bag(run, inputs, usable, gap)
-            people = outcome.population(inputs.profile, run.outcome, spine, UNITS)
-            train = stage(splits.stratified_folds(people, run.folds), "people")
-            for use in run.severity:
-                made = model.build_matrices(b, train, train.limit(0), use)
-                cells = model.grid_search(made.train, range(1, run.folds + 1), run.grid).metrics(t.spark)
-                tags = {"system": F.lit(system), "gap": F.lit(float(gap)), "severity": F.lit(use)}
-                parts.append(cells.withColumns(tags))
+        b, spine = feature_bags(run, inputs, stage(usable_bag(inputs, [system]), "usable"), run.gaps)
+        people = outcome.population(inputs.profile, run.outcome, spine, UNITS).join(spine, "subject_id")
+        folded = splits.stratified_folds(people, run.folds, ["gap"]).withColumn("role", F.lit("train"))
+        examples = model.build_examples(b, stage(folded, "people"), ["gap"], run.severity, ["gap"])
+        cells = model.grid_search(examples, gridfit.Grid(run.grid, run.folds)).cells
+        parts.append(cells.select("fold", "c", "n", "auc", F.lit(system).alias("system"), "gap", "severity"))
     return reduce(DataFrame.unionByName, parts)
 
 
