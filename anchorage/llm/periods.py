@@ -40,8 +40,14 @@ LEAST, TIMES = 6, 4
 #: Bytes of a text from which on its pieces are dealt out; boundaries of a piece, in words and in tiles.
 LONG, PIECE, TILES = 1 << 20, 1 << 16, 8
 
-FRAGMENT = "key binary, period long, low long, high long"
-PIECES = "key binary, first long, last long, shift long, low_octave int, high_octave int, words binary"
+_FRAGMENT = ("key", "period", "low", "high")
+_PIECE = ("first", "last", "shift", "low_octave", "high_octave", "words")
+_PIECE_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+#: Rows are fragments or, of long texts, pieces that are still to be solved.
+TILED = (
+    "key binary, period long, low long, high long, "
+    "first long, last long, shift long, low_octave int, high_octave int, words binary"
+)
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -145,32 +151,6 @@ def _octaves(n: int, times: int) -> int:
     return max(0, n // times).bit_length()
 
 
-def _told(keys: pa.Array, rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    owner, *numbers = rows
-    taken = keys.take(pa.array(owner, pa.int64()))
-    return pa.RecordBatch.from_arrays([taken, *(pa.array(x, pa.int64()) for x in numbers)], ["key", "period", "low", "high"])
-
-
-def _short(docs: DataFrame, least: int, times: int) -> DataFrame:
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in row_slices(batch, "text"):
-                known = defaultdict(count(1).__next__)
-                split = [x.encode().split() for x in part.column("text").to_pylist()]
-                # texts in a row, each after a number that no word has
-                rows = [x for k, s in enumerate(split) for x in (np.array([-k - 1], np.int32), _numbers(s, known))]
-                words = np.concatenate([*rows, np.array([-len(split) - 1], np.int32)])
-                starts = np.cumsum([0] + [len(s) + 1 for s in split])
-                octaves = range(_octaves(max(map(len, split)), times))
-                found = np.array(solve(words, octaves, 0, len(words), least, times), np.int64).reshape(-1, 3)
-                if len(found):
-                    owner = np.searchsorted(starts, found[:, 1], "right") - 1
-                    shift = starts[owner] + 1
-                    yield _told(part.column("key"), stitch(owner, found[:, 0], found[:, 1] - shift, found[:, 2] - shift))
-
-    return docs.mapInArrow(find, FRAGMENT)
-
-
 def pieces(words: np.ndarray, times: int = TIMES, piece: int = PIECE, tiles: int = TILES) -> Iterator[tuple[int, int, int, int, int, np.ndarray]]:
     """(first, last, shift, low octave, high octave, words) of the pieces of one text.
 
@@ -188,35 +168,69 @@ def pieces(words: np.ndarray, times: int = TIMES, piece: int = PIECE, tiles: int
             yield at - start, min(n, at + width) - start, start, a, b, words[start:end]
 
 
-def _long(docs: DataFrame, least: int, times: int) -> DataFrame:
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _batch(keys: pa.Array, rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    """Fragments (owner, period, low, high) as rows of ``TILED``."""
+    owner, *numbers = rows
+    n = len(owner)
+    columns = [keys.take(pa.array(owner, pa.int64())), *(pa.array(x, pa.int64()) for x in numbers)]
+    blank = [pa.nulls(n, t) for t in _PIECE_KINDS]
+    return pa.RecordBatch.from_arrays([*columns, *blank], [*_FRAGMENT, *_PIECE])
+
+
+def tiled(texts: DataFrame, least: int, times: int, long: int) -> DataFrame:
+    """Fragments of the texts (key, text) up to ``long`` bytes, pieces of the longer ones."""
+
+    def solved(keys: pa.Array, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        known = defaultdict(count(1).__next__)
+        split = [x.split() for x in texts]
+        # texts in a row, each after a number that no word has
+        rows = [x for k, s in enumerate(split) for x in (np.array([-k - 1], np.int32), _numbers(s, known))]
+        words = np.concatenate([*rows, np.array([-len(split) - 1], np.int32)])
+        starts = np.cumsum([0] + [len(s) + 1 for s in split])
+        octaves = range(_octaves(max(map(len, split)), times))
+        found = np.array(solve(words, octaves, 0, len(words), least, times), np.int64).reshape(-1, 3)
+        if len(found):
+            owner = np.searchsorted(starts, found[:, 1], "right") - 1
+            shift = starts[owner] + 1
+            yield _batch(keys, stitch(owner, found[:, 0], found[:, 1] - shift, found[:, 2] - shift))
+
+    def exploded(key: bytes, text: bytes) -> Iterator[pa.RecordBatch]:
+        edge = np.array([-1], np.int32)
+        words = np.concatenate([edge, _numbers(text.split(), defaultdict(count(1).__next__)), edge - 1])
+        for row in pieces(words, times):
+            values = [key, None, None, None, *row[:5], row[5].tobytes()]
+            kinds = (pa.binary(), *[pa.int64()] * 3, *_PIECE_KINDS)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], [*_FRAGMENT, *_PIECE])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in row_slices(batch, "text", 1):
-                for key, text in zip(part.column("key"), part.column("text").to_pylist()):
-                    known = defaultdict(count(1).__next__)
-                    edge = np.array([-1], np.int32)
-                    words = np.concatenate([edge, _numbers(text.encode().split(), known), edge - 1])
-                    for row in pieces(words, times):
-                        kinds = (*[pa.int64()] * 3, *[pa.int32()] * 2, pa.binary())
-                        values = (*row[:5], row[5].tobytes())
-                        columns = [pa.array([key.as_py()], pa.binary()), *(pa.array([v], t) for v, t in zip(values, kinds))]
-                        yield pa.RecordBatch.from_arrays(
-                            columns, ["key", "first", "last", "shift", "low_octave", "high_octave", "words"]
-                        )
+            for part in row_slices(batch, "text"):
+                texts = part.column("text").cast(pa.large_binary()).to_pylist()
+                short = [k for k, x in enumerate(texts) if len(x) <= long]
+                if short:
+                    yield from solved(part.column("key").take(pa.array(short)), [texts[k] for k in short])
+                for k in range(len(texts)):
+                    if len(texts[k]) > long:
+                        yield from exploded(part.column("key")[k].as_py(), texts[k])
+
+    return texts.mapInArrow(find, TILED)
+
+
+def _solved_pieces(rows: DataFrame, least: int, times: int) -> DataFrame:
+    """Fragments of the pieces, dealt to all tasks."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                first, last, shift, low, high = (batch.column(c)[k].as_py() for c in ("first", "last", "shift", "low_octave", "high_octave"))
+                first, last, shift, low, high = (batch.column(c)[k].as_py() for c in _PIECE[:-1])
                 words = np.frombuffer(batch.column("words")[k].as_buffer(), np.int32)
                 rows = np.array(solve(words, range(low, high), first, last, least, times), np.int64).reshape(-1, 3)
                 if len(rows):
                     moved = rows[:, 1:] + shift - 1
-                    yield _told(batch.column("key").slice(k, 1), stitch(np.zeros(len(rows), np.int64), rows[:, 0], *moved.T))
+                    yield _batch(batch.column("key").slice(k, 1), stitch(np.zeros(len(rows), np.int64), rows[:, 0], *moved.T))
 
-    dealt = docs.mapInArrow(explode, PIECES)
-    tasks = docs.sparkSession.sparkContext.defaultParallelism
-    return dealt.repartition(tasks, "key", "low_octave", "shift").mapInArrow(find, FRAGMENT)
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks, "key", "low_octave", "shift").mapInArrow(find, TILED)
 
 
 def text_key(column: str = "text") -> Column:
@@ -226,8 +240,9 @@ def text_key(column: str = "text") -> Column:
 def runs(docs: DataFrame, least: int = LEAST, times: int = TIMES, long: int = LONG) -> DataFrame:
     """key (of the text), start, length, period of every run of every text, each once."""
     texts = docs.select(text_key().alias("key"), text_of().alias("text"))
-    size = F.octet_length("text")
-    fragments = _short(texts.where(size <= long), least, times).unionByName(_long(texts.where(size > long), least, times))
+    rows = stage(tiled(texts, least, times, long), "tiled")
+    whole = rows.where("words is null").select(*_FRAGMENT)
+    fragments = whole.unionByName(_solved_pieces(rows.where("words is not null"), least, times).select(*_FRAGMENT))
     # copies tell the same fragments; they are made one before the shuffle
     once = fragments.groupBy("key", "period", "low").agg(F.max("high").alias("high"))
     before = Window.partitionBy("key", "period").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
@@ -269,7 +284,7 @@ def described(docs: DataFrame, least: int = LEAST, times: int = TIMES, long: int
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("runs"), collapsed], ["doc_id", "runs", "collapsed"])
 
     spans = F.transform("runs", lambda r: F.struct((r.start + r.period).alias("low"), (r.start + r.length).alias("high")))
-    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), text_key().alias("key")).join(by_text, "key", "left")
+    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), text_key().alias("key")).join(by_text.hint("merge"), "key", "left")
     run = "array<struct<start: bigint, period: bigint, length: bigint>>"
     return rows.select("doc_id", "text", "runs", spans.alias("spans")).mapInArrow(collapse, f"doc_id long, runs {run}, collapsed string")
 
