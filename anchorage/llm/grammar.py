@@ -40,59 +40,116 @@ _HEAD = struct.Struct("<4sIIIII")
 
 #: Ids after which a block is closed; a document is never cut.
 BLOCK_IDS = 1 << 19
-#: Rounds of pair replacement, rules a round adds, and uses a pair needs.
-ROUNDS, RULES, USES = 8, 1024, 4
+#: Uses a pair needs; a round takes pairs down to this part of the most frequent one's uses.
+USES, BAND = 4, 32
+#: Hash buckets, as a power of two, in which pairs are counted before they are sorted.
+BUCKETS = 18
 
 BLOCKS = "shard int, block int, n_docs long, n_tokens long, payload binary"
 DOCUMENTS = "shard int, block int, doc_id long, first long, n_tokens long, ids binary"
 
 
+def _bucket(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - BUCKETS)
+
+
+def _frequent(symbols: np.ndarray, at: np.ndarray, uses: int) -> tuple[np.ndarray, ...]:
+    """Keys of the pairs at the places ``at`` with ``uses`` occurrences or more, their counts, their places, and which pair each is.
+
+    Pairs are first counted by hash: a bucket with fewer occurrences holds no such
+    pair, and what is left is sorted.
+    """
+    left, right = symbols[at], symbols[at + 1]
+    bucket = _bucket(left, right)
+    often = np.flatnonzero((np.bincount(bucket, minlength=1 << BUCKETS) >= uses)[bucket])
+    keys = left[often].astype(np.uint64) << np.uint64(32) | right[often]
+    ordered = np.sort(keys)
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: ordered.size])
+    counts = np.diff(np.append(first, ordered.size))
+    pairs, counts = ordered[first[counts >= uses]], counts[counts >= uses]
+    if not pairs.size:
+        return pairs, counts, often[:0], often[:0]
+    # a table by bucket finds the pair of a place; a search does where pairs share a bucket
+    own = _bucket((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))
+    table = np.zeros(1 << BUCKETS, np.int64)
+    table[own] = np.arange(pairs.size)
+    rank = table[bucket[often]]
+    hit = pairs[rank] == keys
+    shared = np.bincount(own, minlength=1 << BUCKETS) > 1
+    other = np.flatnonzero(~hit & shared[bucket[often]])
+    rank[other] = np.minimum(np.searchsorted(pairs, keys[other]), pairs.size - 1)
+    hit[other] = pairs[rank[other]] == keys[other]
+    return pairs, counts, at[often[hit]], rank[hit]
+
+
+def _tries(pairs: np.ndarray, counts: np.ndarray, uses: int, band: int) -> Iterator[np.ndarray]:
+    """Pairs to replace at once, as a mask: the most frequent; all; where they are in each other's way,
+    those whose symbols are dealt a side each, so that none overlap; the pairs one by one."""
+    yield counts >= max(uses, counts.max() // band)
+    yield np.ones(pairs.size, bool)
+    left, right = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
+    for turn in (1, 2, 3, 4):
+        side = [(x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60 - turn)) & np.uint64(1) for x in (left, right)]
+        yield (side[0] == 0) & (side[1] == 1)
+    for i in np.argsort(-counts, kind="stable"):
+        yield np.arange(pairs.size) == i
+
+
+def _apart(at: np.ndarray, rank: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the chosen pairs and which pair each is; of a run of overlapping ones every second."""
+    hit = chosen[rank]
+    where, rank = at[hit], rank[hit]
+    i = np.arange(where.size)
+    run = np.maximum.accumulate(np.where(np.diff(where, prepend=-2) != 1, i, 0))
+    take = (i - run) % 2 == 0
+    return where[take], rank[take]
+
+
 def replace_pairs(
-    symbols: np.ndarray, first: int, barrier: int, rounds: int = ROUNDS, rules: int = RULES, uses: int = USES
+    symbols: np.ndarray, first: int, barrier: int, rounds: int | None = None, uses: int = USES, band: int = BAND
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols after replacement and the left and right sides of rules first, first + 1, ...
 
-    A round replaces the most frequent pairs, ``rules`` at most, each with
-    ``uses`` occurrences or more; where occurrences overlap, every second of
-    the run is taken.  No pair holds ``barrier``, so documents stay apart.
+    A round replaces the pairs with at least the most frequent one's uses divided by
+    ``band``, and ``uses`` at least; where occurrences overlap, every second of
+    the run is taken.  Without a number of ``rounds`` it goes on until no pair has ``uses``
+    occurrences apart.  No pair holds ``barrier``, so documents stay apart.
     """
     lefts: list[np.ndarray] = []
     rights: list[np.ndarray] = []
-    new = first
-    for _ in range(rounds):
-        if symbols.size < 2:
+    new, spent = first, 0
+    at = np.arange(max(0, symbols.size - 1))
+    while at.size and (rounds is None or spent < rounds):
+        at = at[(symbols[at] != barrier) & (symbols[at + 1] != barrier)]
+        pairs, counts, at, rank = _frequent(symbols, at, uses)
+        if not pairs.size:
             break
-        free = symbols != barrier
-        at = np.flatnonzero(free[:-1] & free[1:])
-        # pairs of 16-bit symbols sort twice as fast
-        kind, half = (np.uint32, 16) if new <= 1 << 16 else (np.uint64, 32)
-        shift, mask = kind(half), kind((1 << half) - 1)
-        keys = symbols[at].astype(kind) << shift | symbols[at + 1].astype(kind)
-        pairs, counts = np.unique(keys, return_counts=True)
-        frequent = np.flatnonzero(counts >= uses)
-        if not frequent.size:
+        for chosen in _tries(pairs, counts, uses, band):
+            where, taken = _apart(at, rank, chosen)
+            used = np.bincount(taken, minlength=pairs.size)
+            if used.max() >= uses:
+                break
+        else:
             break
-        # most frequent first, ties by the pair itself
-        frequent = np.sort(frequent[np.argsort(-counts[frequent], kind="stable")[:rules]])
-        chosen = pairs[frequent]
-        left, right = chosen >> shift, chosen & mask
-        # two small look-ups leave few positions for the search
-        begins, ends = np.zeros(new, bool), np.zeros(new, bool)
-        begins[left.astype(np.int64)] = ends[right.astype(np.int64)] = True
-        near = np.flatnonzero(begins[symbols[at]] & ends[symbols[at + 1]])
-        rank = np.minimum(np.searchsorted(chosen, keys[near]), chosen.size - 1)
-        hit = chosen[rank] == keys[near]
-        where, rank = at[near[hit]], rank[hit]
-        i = np.arange(where.size)
-        run = np.maximum.accumulate(np.where(np.diff(where, prepend=-2) != 1, i, 0))
-        take = (i - run) % 2 == 0
-        where, rank = where[take], rank[take]
+        # pairs that others took their places from wait for a later round
+        enough = used >= uses
+        number = np.cumsum(enough) - 1
+        where, taken = where[enough[taken]], number[taken[enough[taken]]]
+        chosen = pairs[enough]
+        keep = np.ones(symbols.size, bool)
+        keep[where + 1] = False
         symbols = symbols.copy()
-        symbols[where] = new + rank
-        symbols = np.delete(symbols, where + 1)
-        lefts.append(left.astype(np.uint32))
-        rights.append(right.astype(np.uint32))
-        new += chosen.size
+        symbols[where] = new + taken
+        symbols = symbols[keep]
+        # only pairs with a new symbol, and those that were frequent before, can be frequent now
+        fresh = where - np.arange(where.size)
+        others = at[keep[at]]
+        others = (np.cumsum(keep) - 1)[others] if 16 * others.size > keep.size else others - np.searchsorted(where + 1, others)
+        at = np.sort(np.concatenate([others, fresh - 1, fresh]))
+        at = at[(at >= 0) & (at < symbols.size - 1) & (np.diff(at, prepend=-2) > 0)]
+        lefts.append((chosen >> np.uint64(32)).astype(np.uint32))
+        rights.append((chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        new, spent = new + chosen.size, spent + 1
     none = np.zeros(0, np.uint32)
     return symbols, np.concatenate(lefts or [none]), np.concatenate(rights or [none])
 

@@ -21,6 +21,18 @@ _SHOWN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not i
 REMEMBERED = 700_000
 
 
+class _Known(dict):
+    """Ids of words, worked out when they are first asked for."""
+
+    def __init__(self, new):
+        super().__init__()
+        self._new = new
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self._new(word)
+        return ids
+
+
 class Encoder:
     """Encodes texts with a public tokenizer and remembers the ids of words.
 
@@ -35,12 +47,14 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
+        self._own = own = Tokenizer.from_file(path)
+        # tokens that are cut out of a text before its words are split, in any case
+        added = [t.content for t in own.get_added_tokens_decoder().values()]
+        self._added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)", re.IGNORECASE)
         self.size = own.get_vocab_size()
         self._model, self._split, self._normal = own.model, own.pre_tokenizer.pre_tokenize_str, own.normalizer
         self._remembered = remembered
-        self._known: dict[str, bytes] = {"": b""}
+        self._known = _Known(self._new)
         self._spaced = own.encode("a b").tokens != own.encode("a").tokens + own.encode("b").tokens
         self._blank = self._split(" a")[0][0].removesuffix("a") if self._spaced else ""
         self._lower = self._normal is not None and self._normal.normalize_str("Ab") == "ab"
@@ -49,12 +63,11 @@ class Encoder:
         return b"".join(x.id.to_bytes(4, "little") for p in parts for x in self._model.tokenize(p))
 
     def _of(self, word: str) -> bytes:
-        ids = self._known.get(word)
-        if ids is None:
-            ids = self._known[word] = self._new(word)
-        return ids
+        return self._known[word]
 
     def _new(self, word: str) -> bytes:
+        if not word:
+            return b""
         if word[0] == "\n" and len(word) > 1 and not word[1].isspace():
             return self._of("\n") + self._of(word[1:])
         core = word.rstrip(".,;:!?")
@@ -84,15 +97,20 @@ class Encoder:
         return twice or "\0" in text or text[:1] in " \n" or text[-1:] in " \n" or bool(_OTHER.search(text))
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        words = [self._words(x) for x in texts]
-        needed = set().union(*words)
+        """The ids of each text as little-endian unsigned 32-bit integers.
+
+        A text that holds an added token of the vocabulary is left to the tokenizer as a whole.
+        """
+        texts = list(texts)
+        whole = {i: self._plain(x) for i, x in enumerate(texts) if self._added.search(x)}
+        words = [[] if i in whole else self._words(x) for i, x in enumerate(texts)]
         if len(self._known) > self._remembered:
-            self._known = {w: self._known[w] for w in needed.intersection(self._known)} | {"": b""}
-        for word in needed.difference(self._known):
-            self._of(word)
+            self._known.clear()
         ids = self._known.__getitem__
-        return [b"".join(map(ids, x)) for x in words]
+        return [whole[i] if i in whole else b"".join(map(ids, x)) for i, x in enumerate(words)]
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(i.to_bytes(4, "little") for i in self._own.encode(text, add_special_tokens=False).ids)
 
 
 @functools.lru_cache(maxsize=2)

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import row_slices, strings
+from .common import row_slices, stage, strings
 
 WIDTHS, DIMENSIONS, FILTERS = (1, 2, 3), 8, 8
 #: Lengths of the beginnings of a word that have rows of their own.
@@ -211,16 +211,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
     share = lab.agg(F.avg("toxic"), F.min("toxic"), F.max("toxic")).first()
     if share[0] is None or share[1] == share[2]:
         return Network(*[np.zeros(0)] * 2, [], *[np.zeros(0)] * 2, constant=0.5 if share[0] is None else float(share[0]))
-    known = docs.select("doc_id", "text", "lang").where("text is not null").join(lab, "doc_id")
-    size = F.regexp_count("text", F.lit(r"\w+"))
-    mixed = F.xxhash64(F.lit("toxicity"), "text")
+    mixed = F.xxhash64(F.lit("toxicity"), "text").alias("mixed")
+    texts = docs.where("text is not null")
+    # narrow rows tell which texts are drawn; only those are brought
+    size = F.regexp_count("text", F.lit(r"\w+")).alias("words")
+    known = texts.select(mixed, "doc_id", size).where(F.col("words") <= TRAIN_WORDS).join(lab, "doc_id")
+    known = stage(known.select("mixed", "doc_id", "toxic"), "labelled")
     rows = []
     for label in (0, 1):
-        some = known.where((F.col("toxic") == label) & (F.length("text") <= 8 * TRAIN_WORDS)).where(size <= TRAIN_WORDS)
-        # a row for each text, without its text until the sample is drawn, so that copies do not fill it
-        some = some.select(mixed.alias("_mixed"), "doc_id", "text", "lang", "toxic")
-        first = some.groupBy("_mixed").agg(F.min("doc_id").alias("doc_id")).orderBy("_mixed").limit(SAMPLE)
-        rows += some.join(F.broadcast(first), ["_mixed", "doc_id"]).select("text", "lang", "toxic").dropDuplicates(["text"]).collect()
+        # a row for each text, so that copies do not fill the sample
+        first = known.where(F.col("toxic") == label).groupBy("mixed").agg(F.min("doc_id").alias("doc_id")).orderBy("mixed").limit(SAMPLE)
+        rows.append(first.withColumn("toxic", F.lit(label)))
+    drawn = stage(rows[0].unionByName(rows[1]), "drawn")  # twice SAMPLE rows
+    brought = texts.select(mixed, "doc_id", "text", "lang").join(F.broadcast(drawn), ["mixed", "doc_id"])
+    rows = brought.select("text", "lang", "toxic").dropDuplicates(["text", "toxic"]).collect()
+    rows.sort(key=lambda r: (r["toxic"], r["text"]))
     distinct = list({r["text"]: r for r in rows}.values())
     distinct.sort(key=lambda r: zlib.crc32(r["text"].encode("utf-8", "surrogatepass")))
     texts, y = [pieces_of(words_of(r["text"])) for r in distinct], np.array([r["toxic"] for r in distinct])

@@ -14,7 +14,6 @@ def plain(name, text):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(vocabulary(name))
-    own.encode_special_tokens = True
     return own.encode(text, add_special_tokens=False).ids
 
 
@@ -26,6 +25,14 @@ def test_encoder_is_the_tokenizer(name, text):
     assert own == plain(name, text)
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_special_strings_inside_texts(name):
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " x <|ENDOFTEXT|> y", "<|startoftext|> a <|endoftext|>\n", "<|endoftext", "plain"]
+    for text, ids in zip(texts, tokens.encoder(vocabulary(name)).encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain(name, text)
+    assert np.frombuffer(tokens.encoder(vocabulary(name)).encode(texts)[0], "<u4").tolist().count(plain(name, texts[1])[0]) == 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 6), max_size=40), min_size=1, max_size=6))
 def test_grammar_round_trip(texts):
@@ -36,6 +43,24 @@ def test_grammar_round_trip(texts):
         assert grammar.decode(payload, i, 2, 5).tolist() == [*t, 1][2:5]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=200), st.sampled_from([2, 4]))
+def test_no_pair_is_left_that_could_be_replaced(ids, uses):
+    symbols, left, right = grammar.replace_pairs(np.array(ids, np.uint32), 6, 5, uses=uses)
+    rules = dict(enumerate(zip(left.tolist(), right.tolist()), 6))
+
+    def opened(s):
+        return [s] if s < 6 else [y for x in rules[s] for y in opened(x)]
+
+    assert [x for s in symbols.tolist() for x in opened(s)] == ids
+    apart, last = {}, {}
+    for i, pair in enumerate(zip(symbols.tolist(), symbols.tolist()[1:])):
+        if 5 not in pair and last.get(pair) != i - 1:
+            apart[pair] = apart.get(pair, 0) + 1
+            last[pair] = i
+    assert max(apart.values(), default=0) < uses
+
+
 def test_files_of_odd_rows(odd, none):
     rows = grammar.round_trip(odd, vocabulary(NAMES[0])).orderBy("start").collect()
     texts = sorted((r["doc_id"], r["text"] or "") for r in odd.collect())
