@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import bag, evaluate, features, gridfit, model, outcome, splits
 from ..session import stage
 from . import roles
-from .event_queries import order_mixed_subjects
+from .event_queries import GAPS, _eligible, order_mixed_subjects
 from .experiment import SYSTEMS, Experiment, Inputs, feature_bags, run_cross_system, run_single_system, usable_bag
 from .roles import INFO, UNITS, Tables, with_roles
 
@@ -125,7 +125,7 @@ def lr_grid_search(t: Tables) -> DataFrame:
     """AUC of each fold and C, by system, gap and severity setting."""
     inputs, parts = _inputs(t), []
     for system in SYSTEMS:
-        run = Experiment(system=system)
+        run = Experiment(system=system, gaps=GAPS)
         b, spine = feature_bags(run, inputs, stage(usable_bag(inputs, [system]), "usable"), run.gaps)
         people = outcome.population(inputs.profile, run.outcome, spine, UNITS).join(spine, "subject_id")
         folded = splits.stratified_folds(people, run.folds, ["gap"]).withColumn("role", F.lit("train"))
@@ -135,14 +135,52 @@ def lr_grid_search(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def severity_models(t: Tables) -> DataFrame:
+    """Logistic models on the severity score alone, by system and gap: mean AUC and refit for every C."""
+    keys = ["system", "gap"]
+    profile = _profile(t)
+    eligible = outcome.eligible_subjects(profile, outcome.EVENT_BEFORE_END, GAPS, INFO)
+    people = outcome.population(profile, outcome.EVENT_BEFORE_END, eligible, UNITS).join(eligible, "subject_id")
+    people = people.join(profile.select("subject_id", "system"), "subject_id")
+    rows = stage(splits.stratified_folds(people, 5, keys).withColumn("role", F.lit("train")), "people")
+    none = t.spark.createDataFrame([], "gap double, subject_id long, item_id string, cnt long")
+    examples = model.build_examples(none, rows, keys, [True], ["gap"])
+    search = model.grid_search(examples, gridfit.Grid(model.C_GRID, 5, tol=1e-11))
+    mean = model.mean_aucs(search.cells, examples.keys)
+    named = search.fitted.where("kind = 'weight'").join(examples.index, "idx")
+    weight = lambda item: F.round(F.max(F.when(F.col("item_id") == item, F.col("value"))), 6)
+    fits = named.groupBy(*examples.keys, "c").agg(
+        weight(features.SEVERITY_ITEM).alias("weight"), weight(model.INTERCEPT_ITEM).alias("intercept")
+    )
+    told = fits.join(mean, [*examples.keys, "c"]).join(search.best, examples.keys)
+    return told.select(
+        *keys, "c", F.round("mean", 9).alias("mean_auc"), "weight", "intercept", (F.col("c") == F.col("best_c")).alias("chosen")
+    )
+
+
+def evaluation_population(t: Tables) -> DataFrame:
+    """Subjects, positives and severity AUC of each evaluation: system by gap, of all and of each unit."""
+    inputs, parts = _inputs(t), []
+    for system in SYSTEMS:
+        run = Experiment(system=system, gaps=GAPS)
+        _, spine = feature_bags(run, inputs, stage(usable_bag(inputs, [system]), "usable"), run.gaps)
+        people = outcome.population(inputs.profile, run.outcome, spine, UNITS).join(spine, "subject_id")
+        people = stage(people.withColumnRenamed("severity", "score"), "people")
+        for by in ([], ["unit"]):
+            auc = evaluate.roc_auc(people, ["gap", *by])
+            unit = F.col("unit") if by else F.lit("all")
+            parts.append(auc.select(F.lit(system).alias("system"), "gap", unit.alias("unit"), F.round("auc", 9).alias("auc"), "n_pos", "n_neg"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def single_system_eval(t: Tables) -> DataFrame:
     """AUCs and cohort counts of all repeats, gaps and severity settings of both systems."""
-    return _evaluated(t, [(run_single_system, Experiment(system=s)) for s in SYSTEMS])
+    return _evaluated(t, [(run_single_system, Experiment(system=s, gaps=GAPS)) for s in SYSTEMS])
 
 
 def cross_system_eval(t: Tables) -> DataFrame:
     """AUCs, bootstrap intervals and cohort counts, with shared and with all items, in both directions."""
-    runs = [Experiment(system=s, intersection=i) for i in (True, False) for s in SYSTEMS]
+    runs = [Experiment(system=s, gaps=GAPS, intersection=i) for i in (True, False) for s in SYSTEMS]
     return _evaluated(t, [(run_cross_system, r) for r in runs])
 
 
@@ -186,6 +224,8 @@ QUERIES = {
         bootstrap_auc_ci,
         class_weights,
         lr_grid_search,
+        severity_models,
+        evaluation_population,
         single_system_eval,
         cross_system_eval,
     )
@@ -246,7 +286,56 @@ _BOOT = {
     "aucs": _auc_sql("drawn", "rep"),
 }
 
+_FOLDS, _STEPS = 5, 40
+_ELIGIBLE = _eligible(outcome.EVENT_BEFORE_END, GAPS)
+
+#: Every cell by Newton steps from zero, one recursion a step for all cells.
+_NEWTON = f"""WITH RECURSIVE
+%s,
+people AS (SELECT system, gap, subject_id, label, coalesce(severity, 0)::DOUBLE AS severity,
+                  ntile({_FOLDS}) OVER (PARTITION BY system, gap, label ORDER BY subject_id) AS fold
+           FROM ({_ELIGIBLE}) JOIN ({_LABELLED}) USING (subject_id) WHERE unit IN {UNITS}),
+fitted AS (SELECT p.*, f.f, max(abs(severity)) OVER own AS top,
+                  count(*) OVER own / (2.0 * count(*) OVER (PARTITION BY system, gap, f.f, label)) AS s
+           FROM people p, range({_FOLDS + 1}) f(f) WHERE f.f = 0 OR f.f != p.fold
+           WINDOW own AS (PARTITION BY system, gap, f.f)),
+x AS (SELECT *, severity / CASE WHEN top > 0 THEN top ELSE 1 END AS z FROM fitted),
+cells AS (SELECT DISTINCT system, gap, f, power(10.0, e.e - 7) AS c FROM fitted, range(8) e(e)),
+newton(system, gap, f, c, step, a, b) AS (
+    SELECT system, gap, f, c, 0, 0.0::DOUBLE, 0.0::DOUBLE FROM cells
+    UNION ALL
+    SELECT system, gap, f, c, step + 1,
+           a - (h_bb * g_a - h_ab * g_b) / (h_aa * h_bb - h_ab * h_ab), b - (h_aa * g_b - h_ab * g_a) / (h_aa * h_bb - h_ab * h_ab)
+    FROM (SELECT system, gap, f, c, step, a, b,
+                 a - c * sum(s * label * q) AS g_a, b - c * sum(s * label * q * z) AS g_b,
+                 1 + c * sum(s * q * (1 - q)) AS h_aa, c * sum(s * q * (1 - q) * z) AS h_ab, 1 + c * sum(s * q * (1 - q) * z * z) AS h_bb
+          FROM (SELECT n.*, x.s, x.label, x.z, 1 / (1 + exp(x.label * (n.a + n.b * x.z))) AS q
+                FROM newton n JOIN x USING (system, gap, f) WHERE n.step < {_STEPS})
+          GROUP BY system, gap, f, c, step, a, b)),
+solved AS (SELECT * FROM newton WHERE step = {_STEPS}),
+held AS (SELECT system, gap, fold, c, label, 1 / (1 + exp(-(a + b * severity / CASE WHEN m > 0 THEN m ELSE 1 END))) AS score
+         FROM people p JOIN solved n USING (system, gap)
+         JOIN (SELECT DISTINCT system, gap, f, top AS m FROM x) t USING (system, gap, f) WHERE n.f = p.fold),
+aucs AS ({_auc_sql("held", "system, gap, fold, c")}),
+means AS (SELECT system, gap, c, round(sum((n_pos + n_neg) * auc) / sum(n_pos + n_neg), 9) AS mean_auc FROM aucs GROUP BY ALL)
+SELECT system, gap, c, mean_auc, round(b, 6) AS weight, round(a, 6) AS intercept,
+       row_number() OVER (PARTITION BY system, gap ORDER BY mean_auc DESC, c) = 1 AS chosen
+FROM solved JOIN means USING (system, gap, c) WHERE f = 0"""
+
+_USABLE = """SELECT DISTINCT subject_id FROM order_bag WHERE subject_id NOT IN
+    (SELECT subject_id FROM order_bag JOIN order_profile USING (subject_id)
+     JOIN part ON item_id = CAST(p_partkey AS VARCHAR) WHERE system = 'carevue' AND p_size <= 5)"""
+
 ORACLES = {
+    "severity_models": _NEWTON % with_roles(("order_profile",), "").removeprefix("WITH ").strip(),
+    "evaluation_population": with_roles(
+        ("order_bag", "order_profile"),
+        f"""SELECT * FROM ({_auc_sql("(SELECT *, 'all' AS whole FROM people)", "system, gap, whole").replace("whole,", "whole AS unit,", 1)})
+            UNION ALL BY NAME SELECT * FROM ({_auc_sql("people", "system, gap, unit")})""",
+        usable=_USABLE,
+        people=f"""SELECT system, gap, unit, label, severity AS score FROM ({_ELIGIBLE}) JOIN usable USING (subject_id)
+            JOIN ({_LABELLED}) USING (subject_id) WHERE unit IN {UNITS}""",
+    ),
     "tfidf_train": _tfidf_sql(
         "SELECT subject_id, item_id, round(weight, 6) AS weight FROM w", w=_weights("train")
     ),
