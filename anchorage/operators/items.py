@@ -9,6 +9,14 @@ from ..functions.text import normalise_value
 from .ranking import hash_chunk, number_rows
 
 
+def chart_dictionary(items: DataFrame) -> DataFrame:
+    return items.select("item_id", "label")
+
+
+def lab_dictionary(items: DataFrame) -> DataFrame:
+    return items.select("item_id", "label", "fluid", "category")
+
+
 def drug_dictionary(prescriptions: DataFrame) -> DataFrame:
     return prescriptions.select("drug_name", "route", F.lit("start").alias("start")).distinct()
 
@@ -65,18 +73,14 @@ def tokenise_values(
     events: DataFrame, dictionary: DataFrame, squeeze: bool = False
 ) -> DataFrame:
     """Rewrite valued events to ``item_k``; others keep the plain item."""
-    normal = events.withColumn("_value", normalise_value("value", squeeze))
+    value = normalise_value("value", squeeze)
     lookup = dictionary.select("item_id", F.col("value").alias("_value"), "k")
-    return (
-        normal.join(lookup, ["item_id", "_value"], "left")
-        .withColumn(
-            "item_id",
-            F.when(F.col("k").isNotNull(), F.concat_ws("_", "item_id", "k")).otherwise(
-                F.col("item_id")
-            ),
-        )
-        .select(*events.columns)
-    )
+    # rows without a usable value cannot match; kept out of the join, they do not meet in one task
+    plain = events.filter(value.isNull())
+    named = F.when(F.col("k").isNotNull(), F.concat_ws("_", "item_id", "k")).otherwise(F.col("item_id"))
+    valued = events.withColumn("_value", value).filter(F.col("_value").isNotNull())
+    indexed = valued.join(lookup, ["item_id", "_value"], "left").withColumn("item_id", named)
+    return plain.unionByName(indexed.select(*events.columns))
 
 
 def items_with_values(items: DataFrame, labels: DataFrame) -> DataFrame:

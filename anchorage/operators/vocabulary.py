@@ -16,7 +16,8 @@ from ..functions.text import (
     whitespace_tokens,
     words,
 )
-from ..session import stage
+from ..session import spread, stage
+from . import nearest
 
 
 def token_counts(texts: DataFrame, column: str = "text") -> DataFrame:
@@ -56,15 +57,16 @@ def source_words(texts: DataFrame, column: str, clean: str = "label") -> DataFra
 
 
 def build_vocabulary(sources: list[DataFrame]) -> DataFrame:
-    """Union of distinct words over the sources, without lone digits."""
-    united = reduce(DataFrame.unionByName, sources)
-    return united.filter(~F.col("word").rlike(r"^[0-9]$")).distinct()
+    """Union of distinct words over the sources."""
+    return reduce(DataFrame.unionByName, sources).distinct()
 
 
 # --- spelling ---------------------------------------------------------------
 
 
 KEY = ["len", "part", "piece"]
+#: Edits that the index on pieces reaches.
+NEAR = 2
 
 
 def _parts(sized: DataFrame, k: int) -> DataFrame:
@@ -151,23 +153,20 @@ def best_matches(pairs: DataFrame) -> DataFrame:
     )
 
 
-def nearest_words(unknown: DataFrame, vocabulary: DataFrame, k: int | None = None) -> DataFrame:
+def nearest_words(unknown: DataFrame, vocabulary: DataFrame, k: int | None = None, block: int = nearest.BLOCK) -> DataFrame:
     """(word, match, distance): the best match of each word, at most ``k`` edits away if given.
 
-    The distance rises, and only words still without a match go on, until no
-    distance below a word's length is left.  Each step is a stage table.
+    A vocabulary of several blocks is first met through an index on pieces, which finds what is
+    ``NEAR`` edits away; only words without such a match go past the blocks.
     """
-    rest = stage(unknown.select("word").distinct(), "unknown")
-    found, step = [], 2
-    while True:
-        reach = step if k is None else min(step, k)
-        best = best_matches(candidate_pairs(rest, vocabulary, reach))
-        looked = stage(rest.join(best, "word", "left"), "spelled")
-        found.append(looked.filter(F.col("match").isNotNull()))
-        rest = looked.filter(F.col("match").isNull() & (F.length("word") - 1 > reach)).select("word")
-        if reach == k or not rest.limit(1).count():
-            return reduce(DataFrame.unionByName, found)
-        step = 2 * step - 1
+    rest = stage(spread(unknown.select("word").distinct(), "word"), "unknown")
+    words = stage(vocabulary.select("word").distinct(), "vocabulary")
+    if words.count() <= block:
+        return nearest.nearest_by_blocks(rest, words, k, block)
+    near = best_matches(candidate_pairs(rest, words, NEAR if k is None else min(NEAR, k)))
+    looked = stage(rest.join(near, "word", "left"), "spelled")
+    far = looked.filter(F.col("match").isNull()).select("word")
+    return looked.filter(F.col("match").isNotNull()).unionByName(nearest.nearest_by_blocks(far, words, k, block))
 
 
 def correct_spelling(

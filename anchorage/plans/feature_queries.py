@@ -148,7 +148,7 @@ def severity_models(t: Tables) -> DataFrame:
     search = model.grid_search(examples, gridfit.Grid(model.C_GRID, 5, tol=1e-11))
     mean = model.mean_aucs(search.cells, examples.keys)
     named = search.fitted.where("kind = 'weight'").join(examples.index, "idx")
-    weight = lambda item: F.round(F.max(F.when(F.col("item_id") == item, F.col("value"))), 6)
+    weight = lambda item: F.round(F.max(F.when(F.col("item_id") == item, F.col("value"))), 6) + F.lit(0.0)
     fits = named.groupBy(*examples.keys, "c").agg(
         weight(features.SEVERITY_ITEM).alias("weight"), weight(model.INTERCEPT_ITEM).alias("intercept")
     )
@@ -318,7 +318,7 @@ held AS (SELECT system, gap, fold, c, label, 1 / (1 + exp(-(a + b * severity / C
          JOIN (SELECT DISTINCT system, gap, f, top AS m FROM x) t USING (system, gap, f) WHERE n.f = p.fold),
 aucs AS ({_auc_sql("held", "system, gap, fold, c")}),
 means AS (SELECT system, gap, c, round(sum((n_pos + n_neg) * auc) / sum(n_pos + n_neg), 9) AS mean_auc FROM aucs GROUP BY ALL)
-SELECT system, gap, c, mean_auc, round(b, 6) AS weight, round(a, 6) AS intercept,
+SELECT system, gap, c, mean_auc, round(b, 6) + 0.0 AS weight, round(a, 6) + 0.0 AS intercept,
        row_number() OVER (PARTITION BY system, gap ORDER BY mean_auc DESC, c) = 1 AS chosen
 FROM solved JOIN means USING (system, gap, c) WHERE f = 0"""
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from . import cohort_queries, event_queries, feature_queries, text_queries
+from . import cohort_queries, event_queries, feature_queries, file_queries, text_queries
 from .roles import Tables
 
-_MODULES = (cohort_queries, event_queries, feature_queries, text_queries)
+_MODULES = (cohort_queries, event_queries, feature_queries, file_queries, text_queries)
 
 
 def _bind(build):

@@ -391,7 +391,7 @@ ORACLES = {
           (SELECT {_clean("array_to_string(" + _TOKENS.replace('text', 'p_name') + ", ' ')")} AS c FROM part)
         UNION ALL SELECT unnest({_PIECES.format('c')}) FROM
           (SELECT lower({_blank('text', tx.LABEL_SYMBOLS + '.', '#')}) AS c FROM documents)
-        UNION ALL SELECT n_name FROM nation) WHERE NOT regexp_matches(word, '^[0-9]$')""",
+        UNION ALL SELECT n_name FROM nation)""",
     "spell_correct": with_roles(
         (),
         "SELECT word, coalesce(b.w, word) AS corrected FROM seen LEFT JOIN best USING (word)",

@@ -37,23 +37,23 @@ def write_words(words: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def write_window(
-    events: dict[str, DataFrame], path: str, lo: int, hi: int, mode: str = "append"
+    events: dict[str, DataFrame], path: str, lo: int, hi: int, mode: str = "overwrite"
 ) -> None:
-    """Window extracts of all sources in one table, partitioned by source and window."""
+    """Window extracts of all sources in one table, partitioned by source and window.
+
+    Overwriting replaces these sources' extracts of this window and no other.
+    """
     for name, df in events.items():
-        (
-            df.withColumn("source", F.lit(name))
-            .withColumn("window", F.lit(f"{lo * 24}to{hi * 24}hrs"))
-            .write.mode(mode)
-            .partitionBy("source", "window")
-            .option("header", True)
-            .parquet(path)
-        )
+        tagged = df.withColumn("source", F.lit(name)).withColumn("window", F.lit(f"{lo * 24}to{hi * 24}hrs"))
+        write_partitioned(tagged, path, ["source", "window"], mode)
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "error") -> None:
-    """Stage table partitioned on disk by a few-valued column (unit, method)."""
-    df.write.mode(mode).partitionBy(*by).parquet(path)
+    """Stage table partitioned on disk by a few-valued column (unit, method).
+
+    Overwriting replaces the partitions that ``df`` has rows of.
+    """
+    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def read_partition(spark: SparkSession, path: str, **equals: str) -> DataFrame:
