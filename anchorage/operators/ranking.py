@@ -10,18 +10,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-CHUNKS = 64
+#: Chunks at least; a cluster with more cores gets two for each, up to the most that limits are searched for.
+CHUNKS, MOST_CHUNKS = 64, 2048
 _CHUNK = "_chunk"
 
 
-def quantile_chunk(df: DataFrame, column: str, chunks: int = CHUNKS) -> DataFrame:
+def quantile_chunk(df: DataFrame, column: str, chunks: int | None = None) -> DataFrame:
     """Add a chunk number that follows ``column`` and holds even row counts.
 
     The limits are ``chunks - 1`` approximate quantiles (a fixed-size scalar
     subquery, no join).  Only balance depends on them being approximate.
     """
+    if chunks is None:
+        chunks = min(MOST_CHUNKS, max(CHUNKS, 2 * df.sparkSession.sparkContext.defaultParallelism))
     levels = [i / chunks for i in range(1, chunks)]
-    limits = df.select(F.percentile_approx(column, levels, 1000)).scalar()
+    limits = df.select(F.percentile_approx(column, levels, max(1000, 4 * chunks))).scalar()
     return (
         df.withColumn("_limits", limits)
         .withColumn(
