@@ -62,6 +62,8 @@ MAPPINGS = (
     Mapping(("conv_id", "conversations[].from", "conversations[].value"), turn_list="conversations", role="from", text="value"),
     Mapping(("conv_id", "completion", "prompt"), fixed=(("user", ("prompt",)), ("assistant", ("completion",)))),
     Mapping(("conv_id", "prompt", "response", "system"), fixed=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
+    Mapping(("conv_id", "prompt", "response"), fixed=(("user", ("prompt",)), ("assistant", ("response",)))),
+    Mapping(("conv_id", "messages[]"), turn_list="messages"),
     Mapping(("conv_id", "input", "instruction", "output"), fixed=(("user", ("instruction", "input")), ("assistant", ("output",)))),
     Mapping(("conv_id", "instruction", "output"), fixed=(("user", ("instruction",)), ("assistant", ("output",)))),
 )
@@ -95,31 +97,66 @@ def canonical(record: dict, mapping: Mapping) -> Iterator[tuple[int, int, str, s
         yield first, part, ROLES.get(role, role), "" if text is None else str(text)
 
 
+class Layouts:
+    """Chooses the mapping of a record by its fingerprint.
+
+    Fields that no mapping names are ignored; an exact match of all fields comes first.
+    """
+
+    def __init__(self, mappings: tuple[Mapping, ...]):
+        self.by_print = {fingerprint(m.paths): m for m in mappings}
+        self.known = {p for m in mappings for p in m.paths}
+
+    def open(self, raw: str) -> tuple[dict | None, Mapping | None, str]:
+        """The record, its mapping, and why there is none."""
+        try:
+            record = json.loads(raw)
+        except ValueError:
+            return None, None, "not a JSON record"
+        if not isinstance(record, dict):
+            return None, None, "not a JSON object"
+        paths = field_paths(record)
+        mapping = self.by_print.get(fingerprint(paths)) or self.by_print.get(fingerprint(paths & self.known))
+        if mapping is None:
+            return record, None, "no mapping for the fields " + ", ".join(sorted(paths))
+        if not isinstance(record[mapping.conversation], int | None):
+            return record, None, "the conversation is no number"
+        return record, mapping, ""
+
+
 def turns(records: DataFrame, column: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """Canonical turns of JSON records of any mapped layout."""
+    """Canonical turns of JSON records of any mapped layout; ``unmapped`` tells the others."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_print = {fingerprint(m.paths): m for m in mappings}
+        layouts = Layouts(mappings)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         names = ["conv_id", "turn", "part", "role", "text"]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 out = []
                 for raw in batch.column(0).slice(at, 500).to_pylist():
-                    if raw is None:
-                        continue
-                    record = json.loads(raw)
-                    paths = field_paths(record)
-                    mapping = by_print.get(fingerprint(paths))
-                    if mapping is None:
-                        raise ValueError(f"no mapping for a record with the fields {sorted(paths)}")
-                    out += [(record[mapping.conversation], *x) for x in canonical(record, mapping)]
+                    record, mapping, _ = layouts.open(raw) if raw is not None else (None, None, "")
+                    if mapping:
+                        out += [(record[mapping.conversation], *x) for x in canonical(record, mapping)]
                 columns = list(zip(*out)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     return records.select(column).mapInArrow(convert, TURNS)
 
 
+def unmapped(records: DataFrame, column: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """record and reason of every record that ``turns`` has no mapping for; null records are none."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layouts = Layouts(mappings)
+        for batch in batches:
+            raws = [x for x in batch.column(0).to_pylist() if x is not None]
+            rows = [(raw, reason) for raw in raws if (reason := layouts.open(raw)[2])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["record", "reason"])
+
+    return records.select(column).mapInArrow(tell, "record string, reason string")
+
+
 #: Strings that steer chat templates, fixed values; none is left in an escaped text.
 CONTROLS = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<bos>", "<eos>")
 _CONTROL = re.compile(r"\\|" + "|".join(map(re.escape, sorted(CONTROLS, key=len, reverse=True))))

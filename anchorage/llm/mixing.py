@@ -295,30 +295,31 @@ def _numbered(uses: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """One row per draw with all columns of ``docs``, shuffled within shards; a partly drawn text ends early."""
-    columns = docs.columns
+    # the row goes along as one value, so no name of its columns meets one made here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_id().alias("id"), "text")
     # a list per id: rows that share an id meet their plans in the order of size; rows without one are told apart by text
     plans = (
-        plan(docs.withColumn("doc_id", row_id()))
-        .groupBy(F.col("doc_id").alias("_doc_id"))
-        .agg(F.sort_array(F.collect_list(F.struct("size", "draws"))).alias("_plans"))
+        plan(docs.select(row_id().alias("doc_id"), "text", "source"))
+        .groupBy(F.col("doc_id").alias("plan_id"))
+        .agg(F.sort_array(F.collect_list(F.struct("size", "draws"))).alias("plans"))
     )
     word = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    cut = F.array_join(F.slice(word, F.lit(1), F.col("_draw.words").cast("int")), "")
-    whole = F.col("_draw.words") == F.col("_size")
-    order = Window.partitionBy("_id").orderBy("_size", "text")
+    cut = F.array_join(F.slice(word, F.lit(1), F.col("draw.words").cast("int")), "")
+    whole = F.col("draw.words") == F.col("size")
+    order = Window.partitionBy("id").orderBy("size", "text")
     drawn = (
-        docs.withColumn("_id", row_id())
-        .join(plans, F.col("_id") == F.col("_doc_id"))
-        .withColumn("_size", F.regexp_count(text_of(), F.lit(WORD)))
-        .withColumn("_plan", F.element_at("_plans", F.row_number().over(order)))
-        .withColumn("_draw", F.explode("_plan.draws"))
-        .withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
+        rows.join(plans, F.col("id") == F.col("plan_id"))
+        .withColumn("size", F.regexp_count(text_of(), F.lit(WORD)))
+        .withColumn("own", F.element_at("plans", F.row_number().over(order)))
+        .withColumn("draw", F.explode("own.draws"))
+        .withColumn("taken", F.when(whole, F.col("text")).otherwise(cut))
     )
-    if "n_chars" in columns:
-        drawn = drawn.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")))
+    changed = {"text": F.col("taken")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(F.length("taken")).cast(docs.schema["n_chars"].dataType)
     return (
-        drawn.withColumn("_order", F.xxhash64(F.lit(SEED), "_id", "_draw.epoch"))
-        .repartition("_draw.shard")
-        .sortWithinPartitions("_draw.shard", "_order")
-        .select(*columns)
+        drawn.withColumn("turn", F.xxhash64(F.lit(SEED), "id", "draw.epoch"))
+        .repartition("draw.shard")
+        .sortWithinPartitions("draw.shard", "turn")
+        .select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
     )

@@ -278,6 +278,8 @@ def judge(docs: DataFrame) -> DataFrame:
 def passing(docs: DataFrame) -> DataFrame:
     """The rows, with all their columns, that the rules keep; equal texts of a language are judged alike."""
     rows = judged(scored(docs, train(stage(grams(docs), "grams"))))
-    bad = rows.where("not kept").select(F.col("key").alias("_key"), F.col("lang").alias("_lang")).distinct()
-    alike = (F.xxhash64("text") == F.col("_key")) & F.col("lang").eqNullSafe(F.col("_lang"))
-    return docs.join(bad, alike, "left_anti")
+    bad = rows.where("not kept").select(F.col("key").alias("bad_key"), F.col("lang").alias("bad_lang")).distinct()
+    # the row goes along as one value, so no name of its columns meets one made here
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("key"), F.col("lang").alias("own_lang"))
+    alike = (F.col("key") == F.col("bad_key")) & F.col("own_lang").eqNullSafe(F.col("bad_lang"))
+    return own.join(bad, alike, "left_anti").select("row.*")

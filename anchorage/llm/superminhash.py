@@ -340,8 +340,10 @@ def _groups(docs: DataFrame, words: int) -> DataFrame:
 
 def deduplicated(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """One row of each group, with all its columns: that of the smallest doc_id, the first by text of repeated rows."""
-    kept = _groups(docs, words).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.withColumn("_id", row_id()).join(kept, F.col("_id") == F.col("_kept"), "left_semi")
+    kept = _groups(docs, words).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    # the row goes along as one value, so no name of its columns meets one made here
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_id().alias("id"))
+    rows = own.join(kept, F.col("id") == F.col("kept_id"), "left_semi")
     # an aggregate combines before the shuffle, so that many repeated rows do not meet in one task
-    first = F.min_by(F.struct(*docs.columns), F.struct("text")).alias("_first")
-    return rows.groupBy("_id").agg(first).select("_first.*")
+    first = F.min_by("row", F.struct("row.text")).alias("first")
+    return rows.groupBy("id").agg(first).select("first.*")

@@ -22,16 +22,27 @@ REMEMBERED = 700_000
 
 
 class _Known(dict):
-    """Ids of words, worked out when they are first asked for."""
+    """Ids of words, worked out when they are first asked for.
 
-    def __init__(self, new):
+    When it is full the words become the older half, and come back from there as they are used.
+    """
+
+    def __init__(self, new, most: int):
         super().__init__()
-        self._new = new
+        self._new, self._most, self._older = new, most // 2, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self._new(word)
+        ids = self._older.pop(word, None)
+        if ids is None:
+            ids = self._new(word)
+        self[word] = ids
         return ids
 
+    def age(self) -> None:
+        if len(self) > self._most:
+            self._older = dict(self)
+            self.clear()
+
 
 class Encoder:
     """Encodes texts with a public tokenizer and remembers the ids of words.
@@ -53,14 +64,15 @@ class Encoder:
         self._added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)", re.IGNORECASE)
         self.size = own.get_vocab_size()
         self._model, self._split, self._normal = own.model, own.pre_tokenizer.pre_tokenize_str, own.normalizer
-        self._remembered = remembered
-        self._known = _Known(self._new)
+        self._known = _Known(self._new, remembered)
+        self._bytes = [i.to_bytes(4, "little") for i in range(self.size)]
         self._spaced = own.encode("a b").tokens != own.encode("a").tokens + own.encode("b").tokens
         self._blank = self._split(" a")[0][0].removesuffix("a") if self._spaced else ""
         self._lower = self._normal is not None and self._normal.normalize_str("Ab") == "ab"
 
     def _merge(self, parts: Iterable[str]) -> bytes:
-        return b"".join(x.id.to_bytes(4, "little") for p in parts for x in self._model.tokenize(p))
+        own, tokenize = self._bytes, self._model.tokenize
+        return b"".join([own[x.id] for p in parts for x in tokenize(p)])
 
     def _of(self, word: str) -> bytes:
         return self._known[word]
@@ -104,8 +116,7 @@ class Encoder:
         texts = list(texts)
         whole = {i: self._plain(x) for i, x in enumerate(texts) if self._added.search(x)}
         words = [[] if i in whole else self._words(x) for i, x in enumerate(texts)]
-        if len(self._known) > self._remembered:
-            self._known.clear()
+        self._known.age()
         ids = self._known.__getitem__
         return [whole[i] if i in whole else b"".join(map(ids, x)) for i, x in enumerate(words)]
 
