@@ -41,7 +41,7 @@ _HEAD = struct.Struct("<4sIIIII")
 #: Ids after which a block is closed; a document is never cut.
 BLOCK_IDS = 1 << 19
 #: Uses a pair needs; a round takes pairs down to this part of the most frequent one's uses.
-USES, BAND = 4, 32
+USES, BAND = 4, 256
 #: Hash buckets, as a power of two, in which pairs are counted before they are sorted.
 BUCKETS = 18
 
