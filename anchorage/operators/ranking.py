@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import stage
+
 #: Chunks at least; a cluster with more cores gets two for each, up to the most that limits are searched for.
 CHUNKS, MOST_CHUNKS = 64, 2048
 _CHUNK = "_chunk"
@@ -25,12 +27,13 @@ def quantile_chunk(df: DataFrame, column: str, chunks: int | None = None) -> Dat
         chunks = min(MOST_CHUNKS, max(CHUNKS, 2 * df.sparkSession.sparkContext.defaultParallelism))
     levels = [i / chunks for i in range(1, chunks)]
     limits = df.select(F.percentile_approx(column, levels, max(1000, 4 * chunks))).scalar()
+    # the place of the value among the limits; written without a lambda, whose columns the planner's
+    # inference over joins on the chunk does not see
+    x = F.col(column)
+    among = F.array_position(F.sort_array(F.array_append(F.coalesce("_limits", F.array()), x)), x)
     return (
         df.withColumn("_limits", limits)
-        .withColumn(
-            _CHUNK,
-            F.size(F.filter(F.coalesce("_limits", F.array()), lambda q: q <= F.col(column))),
-        )
+        .withColumn(_CHUNK, F.when(x.isNull(), 0).otherwise(among.cast("int") - 1))
         .drop("_limits")
     )
 
@@ -153,27 +156,34 @@ def next_value(df: DataFrame, keys: list[str], order: str, out: str) -> DataFram
     return neighbour_values(df, keys, order, {order: out}, {})
 
 
-def interpolated_percentile(df: DataFrame, column: str, p: float) -> DataFrame:
+def interpolated_percentile(df: DataFrame, column: str, p: float, bins: int = 4096) -> DataFrame:
     """One row ``value``: exact linearly interpolated percentile, nulls ignored.
 
-    Works on value counts and their running sum, so no task holds all values.
+    A histogram of at most ``bins`` rows finds the bin of the rank, the next one that bin's, until a
+    bin holds a single value; mostly two or three aggregates, over a stage table of the column alone.
     """
-    counts = (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(column)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    total = counts.select(F.sum("_n")).scalar()
-    placed = running_sum(
-        quantile_chunk(counts, column), [], column, {"_n": "_below"}
-    ).withColumn("_at", F.lit(p) * (total - 1))
-
-    def value_at(rank: Column) -> Column:
-        hit = (F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_n"))
-        return F.max(F.when(hit, F.col(column).cast("double")))
-
-    lo, hi = F.floor("_at"), F.ceil("_at")
-    ends = placed.agg(
-        value_at(lo).alias("lo"), value_at(hi).alias("hi"), F.max(F.col("_at") - lo).alias("w")
-    )
-    return ends.select((F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("w")).alias("value"))
+    spark = df.sparkSession
+    x = F.col("x")
+    rows = stage(df.select(F.col(column).cast("double").alias("x")).filter(x.isNotNull()), "values")
+    n, low, high = rows.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    if not n:
+        return spark.createDataFrame([(None,)], "value double")
+    at = p * (n - 1)
+    rank, below, after = int(at // 1), 0, high
+    held = n
+    while low < high:
+        # halves keep the width finite
+        place = F.floor((x / 2 - low / 2) / (high / 2 - low / 2) * bins)
+        found = rows.filter(x.between(low, high)).groupBy(F.least(place, F.lit(bins - 1)).alias("bin"))
+        counted = found.agg(F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()
+        for r in sorted(counted, key=lambda r: r["bin"]):
+            if below + r["n"] > rank:
+                break
+            below += r["n"]
+        after = min((s["low"] for s in counted if s["bin"] > r["bin"]), default=after)
+        if (r["low"], r["high"]) == (low, high):
+            raise ValueError("values must be finite")
+        low, high, held = r["low"], r["high"], r["n"]
+    # the next value is another one only where the rank is the last of this one
+    upper = low if below + held > rank + 1 else after
+    return spark.createDataFrame([(low + (upper - low) * (at - rank),)], "value double")

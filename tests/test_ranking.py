@@ -60,3 +60,21 @@ def test_percentile_equals_numpy(frame, p):
     df = frame([(float(v) if v is not None else None,) for v in values], "x double")
     got = ranking.interpolated_percentile(df, "x", p).first()[0]
     assert got == pytest.approx(np.percentile([v for v in values if v is not None], p * 100))
+
+
+@pytest.mark.parametrize("bins", [2, 7, 4096])
+def test_percentile_of_few_close_and_far_values(frame, bins):
+    import numpy as np
+
+    rng = random.Random(bins)
+    for values in ([3.0], [1e-300, 1e300, -1e300, 5.0], [1.0, 1.0 + 2**-52, 1.0 + 2**-51] * 3, [rng.gauss(0, 1) for _ in range(60)]):
+        df = frame([(v,) for v in values], "x double")
+        for p in (0.0, 0.4, 0.75, 1.0):
+            got = ranking.interpolated_percentile(df, "x", p, bins).first()[0]
+            assert got == pytest.approx(np.percentile(values, p * 100), rel=1e-12)
+
+
+def test_percentile_without_values(frame):
+    assert ranking.interpolated_percentile(frame([(None,)], "x double"), "x", 0.5).first()[0] is None
+    with pytest.raises(ValueError):
+        ranking.interpolated_percentile(frame([(1.0,), (float("inf"),)], "x double"), "x", 0.5)
