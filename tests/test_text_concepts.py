@@ -210,3 +210,19 @@ def test_phrases_of_any_length_are_found(frame):
     assert found == [(1, "C1"), (1, "C2"), (2, "C1")]
     short = rows(concepts.annotate(docs, dictionary, max_window=7), "doc_id", "concept_id")
     assert short == [(1, "C2")]
+
+
+@pytest.mark.parametrize("chunk", [4, 4096])
+def test_spanning_concepts_are_those_of_outermost_spans(frame, chunk):
+    rng = random.Random(chunk)
+    data = []
+    for i in range(400):
+        begin = rng.randrange(40)
+        data.append((i % 3, f"c{i % 60}", begin, begin + rng.randrange(1, 9)))
+    spans = frame(data, "doc_id long, concept_id string, begin int, end int")
+    want = {
+        (d, c)
+        for d, c, b, e in data
+        if not any(x == d and y <= b and e <= z and z - y > e - b for x, _, y, z in data)
+    }
+    assert set(rows(concepts.concepts_spanning(spans, chunk))) == want
