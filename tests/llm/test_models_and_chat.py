@@ -96,6 +96,36 @@ def test_copies_do_not_fill_the_toxicity_sample(docs, spark, monkeypatch):
     assert len(seen) == 80
 
 
+def test_toxicity_learns_from_rows_beyond_the_sample(docs, spark, monkeypatch):
+    rows, labels = labelled(docs, spark)
+    said = [(1000 + i, f"plain talk of day {i} and {'zorbish' if i % 5 == 0 else 'friend'}") for i in range(60)]
+    marks = spark.createDataFrame([(1000 + i, 1, int(i % 5 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE", 5)
+    monkeypatch.setattr(toxicity, "STEPS", 300)
+    net = toxicity.train(rows.unionByName(docs(said)), labels.unionByName(marks))
+    assert toxicity.pieces_of(["zorbish"])[0, 0] in net.known
+    # rows past the first weights move the network
+    monkeypatch.setattr(toxicity, "PASSES", 0)
+    before = toxicity.train(rows.unionByName(docs(said)), labels.unionByName(marks))
+    at = toxicity.Rows(net.known).of_texts(["zorbish"])[0][0, 0]
+    assert (net.known == before.known).all() and (net.table[at] != before.table[at]).any()
+
+
+def test_toxicity_thresholds_count_every_row(spark):
+    net = toxicity.Network.fresh(np.unique(toxicity.pieces_of([f"w{i}" for i in range(50)])).astype(np.uint32)[1:], 3)
+    net.table *= 40
+    said = [(f"w{i % 50} w{i * 7 % 50}", "en" if i % 3 else None, int(i % 50 < 20)) for i in range(3000)] + [("w1", "fr", 1)] * 5
+    got = toxicity.thresholds(spark.createDataFrame(said, "text string, lang string, toxic int").repartition(3), net)
+    lookup = toxicity.Rows(net.known)
+    score = np.floor(net.scores(lookup.of_texts([t for t, _, _ in said])) * toxicity.SCALE) / toxicity.SCALE
+    assert set(got) == {"en", ""}  # five toxic rows tell nothing
+    for lang in got:
+        own = [(s, y) for s, (_, x, y) in zip(score, said) if (x or "") == lang]
+        enough = [s for s, _ in own if s >= toxicity.LEAST and 10 * sum(y for t, y in own if t >= s) >= 9 * sum(t >= s for t, _ in own)]
+        least = min(enough, default=None)
+        assert got[lang] == 0.5 if least is None else got[lang] <= least
+
+
 def test_cotraining(docs, spark, odd, none):
     rows, labels = labelled(docs, spark)
     pages = spark.createDataFrame([(1, "https://a.b/c?d", "<p>x<a href=1>"), (2, None, None)], "page_id long, url string, html string")
