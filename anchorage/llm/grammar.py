@@ -44,6 +44,10 @@ BLOCK_IDS = 1 << 19
 USES, BAND = 4, 256
 #: Hash buckets, as a power of two, in which pairs are counted before they are sorted.
 BUCKETS = 18
+#: Places from which on pairs are counted by hash first.
+FEW = 1 << 14
+#: Ids of a rule that are copied at once when it is read.
+SHORT = 64
 
 BLOCKS = "shard int, block int, n_docs long, n_tokens long, payload binary"
 DOCUMENTS = "shard int, block int, doc_id long, first long, n_tokens long, ids binary"
@@ -60,6 +64,11 @@ def _frequent(symbols: np.ndarray, at: np.ndarray, uses: int) -> tuple[np.ndarra
     pair, and what is left is sorted.
     """
     left, right = symbols[at], symbols[at + 1]
+    if at.size < FEW:
+        pairs, rank, counts = np.unique(left.astype(np.uint64) << np.uint64(32) | right, return_inverse=True, return_counts=True)
+        enough = counts >= uses
+        often = np.flatnonzero(enough[rank])
+        return pairs[enough], counts[enough], at[often], (np.cumsum(enough) - 1)[rank[often]]
     bucket = _bucket(left, right)
     often = np.flatnonzero((np.bincount(bucket, minlength=1 << BUCKETS) >= uses)[bucket])
     keys = left[often].astype(np.uint64) << np.uint64(32) | right[often]
@@ -97,7 +106,7 @@ def _tries(pairs: np.ndarray, counts: np.ndarray, uses: int, band: int) -> Itera
 
 def _apart(at: np.ndarray, rank: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the chosen pairs and which pair each is; of a run of overlapping ones every second."""
-    hit = chosen[rank]
+    hit = np.flatnonzero(chosen[rank])
     where, rank = at[hit], rank[hit]
     i = np.arange(where.size)
     run = np.maximum.accumulate(np.where(np.diff(where, prepend=-2) != 1, i, 0))
@@ -199,10 +208,11 @@ def open_block(payload: bytes) -> Block:
     return Block(own, nulls, starts, first, left, right, take("<u4", rules), seq)
 
 
-def _expand(block: Block, symbols: np.ndarray) -> np.ndarray:
-    """Ids of symbols: every pass opens the rules of one level."""
+def _opened(block: Block, symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
+    """The symbols with the marked rules opened: every pass opens those of one level."""
+    marked = np.append(np.zeros(block.first, bool), rules)
     symbols = symbols.astype(np.uint32)
-    while (ruled := symbols >= block.first).any():
+    while (ruled := marked[symbols]).any():
         at = np.flatnonzero(ruled)
         rule = symbols[at] - block.first
         to = np.arange(symbols.size) + np.cumsum(ruled) - ruled
@@ -213,6 +223,22 @@ def _expand(block: Block, symbols: np.ndarray) -> np.ndarray:
     return symbols
 
 
+def _expand(block: Block, symbols: np.ndarray) -> np.ndarray:
+    """Ids of symbols: rules of more than ``SHORT`` ids are opened, all others copied from a table of their ids."""
+    short = block.lengths <= SHORT
+    symbols = _opened(block, symbols, ~short)
+    used = np.zeros(block.first + short.size, bool)
+    used[symbols] = True
+    rules = np.flatnonzero(used[block.first :])
+    table = np.concatenate([np.arange(block.first, dtype=np.uint32), _opened(block, block.first + rules, short)])
+    start, size = np.arange(used.size), np.ones(used.size, np.int64)
+    size[block.first + rules] = own = block.lengths[rules].astype(np.int64)
+    start[block.first + rules] = block.first + np.cumsum(own) - own
+    sizes = size[symbols]
+    ends = np.cumsum(sizes)
+    return table[np.repeat(start[symbols] - ends + sizes, sizes) + np.arange(ends[-1] if ends.size else 0)]
+
+
 def _symbol_ends(block: Block) -> np.ndarray:
     size = np.concatenate([np.ones(block.first, np.int64), block.lengths])
     return np.cumsum(size[block.symbols])

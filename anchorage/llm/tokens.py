@@ -69,6 +69,13 @@ class Encoder:
         self._spaced = own.encode("a b").tokens != own.encode("a").tokens + own.encode("b").tokens
         self._blank = self._split(" a")[0][0].removesuffix("a") if self._spaced else ""
         self._lower = self._normal is not None and self._normal.normalize_str("Ab") == "ab"
+        # letters that are looked at one by one come out as str.lower has them, so words of them do
+        letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+        self._lowers = self._lower and all(self._normal.normalize_str(c) == c.lower() for c in letters)
+
+    def _letters(self, word: str) -> bytes:
+        own = self._bytes
+        return b"".join([own[x.id] for x in self._model.tokenize(word)])
 
     def _merge(self, parts: Iterable[str]) -> bytes:
         own, tokenize = self._bytes, self._model.tokenize
@@ -80,19 +87,21 @@ class Encoder:
     def _new(self, word: str) -> bytes:
         if not word:
             return b""
-        if word[0] == "\n" and len(word) > 1 and not word[1].isspace():
-            return self._of("\n") + self._of(word[1:])
-        core = word.rstrip(".,;:!?")
-        if len(core) < len(word) and core[-1:].isalpha():
-            return self._of(core) + self._of(word[len(core) :])
         letters = word[1:] if self._spaced and word[0] == " " else word
-        if letters.isalpha() and max(letters) < "\u0250":
+        if letters.isalpha():
             blank = self._blank if len(letters) < len(word) else ""
             if letters.isascii():
-                return self._merge([blank + (letters.lower() if self._lower else letters)])
-            own = self._normal.normalize_str(letters) if self._normal else letters
-            if own.isalpha() and max(own) < "\u0250":
-                return self._merge([blank + own.encode().decode("latin-1").translate(_SHOWN)])
+                return self._letters(blank + (letters.lower() if self._lower else letters))
+            if max(letters) < "\u0250":
+                own = letters.lower() if self._lowers else self._normal.normalize_str(letters) if self._normal else letters
+                if own.isalpha() and max(own) < "\u0250":
+                    return self._letters(blank + own.encode().decode("latin-1").translate(_SHOWN))
+        elif word[0] == "\n" and len(word) > 1 and not word[1].isspace():
+            return self._of("\n") + self._of(word[1:])
+        else:
+            core = word.rstrip(".,;:!?")
+            if len(core) < len(word) and core[-1:].isalpha():
+                return self._of(core) + self._of(word[len(core) :])
         return self._merge(p for p, _ in self._split(self._normal.normalize_str(word) if self._normal else word))
 
     def _words(self, text: str) -> list[str]:
@@ -113,12 +122,9 @@ class Encoder:
 
         A text that holds an added token of the vocabulary is left to the tokenizer as a whole.
         """
-        texts = list(texts)
-        whole = {i: self._plain(x) for i, x in enumerate(texts) if self._added.search(x)}
-        words = [[] if i in whole else self._words(x) for i, x in enumerate(texts)]
         self._known.age()
-        ids = self._known.__getitem__
-        return [whole[i] if i in whole else b"".join(map(ids, x)) for i, x in enumerate(words)]
+        ids, added, words = self._known.__getitem__, self._added.search, self._words
+        return [self._plain(x) if added(x) else b"".join(map(ids, words(x))) for x in texts]
 
     def _plain(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self._own.encode(text, add_special_tokens=False).ids)

@@ -100,3 +100,17 @@ def test_plan_is_best_fit_decreasing():
             rooms.remove(min(fit))
         rooms.append((min(fit) if fit else 10) - n)
     assert used == len(rooms)
+
+
+def test_few_and_many_places_give_one_grammar(monkeypatch):
+    ids = np.random.default_rng(5).integers(6, 40, 40_000).astype(np.uint32)
+    ids[20_000:] = np.tile(ids[:400], 50)
+    many = grammar.replace_pairs(ids, 40, 5)
+    for few in (0, 1 << 30):
+        monkeypatch.setattr(grammar, "FEW", few)
+        assert all((a == b).all() for a, b in zip(many, grammar.replace_pairs(ids, 40, 5)))
+    payload = grammar.pack_block([1, 2], [ids[:30_000].tobytes(), ids[30_000:].tobytes()], 40, 5)
+    for short in (1, 2, 64, 1 << 20):
+        monkeypatch.setattr(grammar, "SHORT", short)
+        got = [grammar.decode(payload, k, a, b) for k, a, b in ((0, 0, None), (1, 0, None), (1, 77, 5000), (0, 9, 9))]
+        assert [x.tolist() for x in got] == [ids[:30_000].tolist(), ids[30_000:].tolist(), ids[30_077:35_000].tolist(), []]
