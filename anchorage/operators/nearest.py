@@ -1,10 +1,12 @@
 """Nearest vocabulary words by edit distance, a block of the vocabulary at a time.
 
 A block of at most ``BLOCK`` words goes to every task, which passes its words by it; each word comes
-back with its nearest one of the block, never with pairs.  Distances to all words
-of a block are worked out side by side, a column of the edit matrix in a few bit
-operations (one machine word holds a column of up to 64 characters).  Words of the block whose sets
-of characters already differ by more than the best distance found are passed over.
+back with its nearest one of the block, never with pairs.  The block is a tree of beginnings that is
+walked once for ``TOGETHER`` words: a step takes a column of the edit matrices of all of them
+in a few bit operations (one number of 16, 32 or 64 bits holds a column), and words of the block with a
+common beginning share its columns.  Words that are longer, and a few left alone, meet the
+words of the block side by side; those whose sets of characters already differ by more than the best
+distance found are passed over.
 """
 
 from __future__ import annotations
@@ -19,6 +21,10 @@ from pyspark.sql import DataFrame, functions as F
 BLOCK = 50_000
 #: Differing characters of the words that are looked at first.
 FIRST = 2
+#: Words that walk the tree together, and words for which it is not walked.
+TOGETHER, ALONE = 1 << 14, 16
+#: Numbers that a walk holds.
+MASKS = 1 << 23
 
 _ONE = np.uint64(1)
 
@@ -43,6 +49,20 @@ class Vocabulary:
         self.turn = np.empty(len(ordered), np.int64)
         self.turn[np.argsort(self.words, kind="stable")] = np.arange(len(ordered))
 
+        self.tree = self._tree()
+
+    def _tree(self) -> list[tuple[int, int, int]]:
+        """Beginnings of the words, in their order: length, number of the last character, and the word's place or -1."""
+        out: list[tuple[int, int, int]] = []
+        last = ""
+        for place in np.argsort(self.turn).tolist():
+            word = self.words[place]
+            shared = next((i for i, (a, b) in enumerate(zip(last, word)) if a != b), min(len(last), len(word)))
+            out += [(i + 1, self.known[word[i]], -1) for i in range(shared, len(word))]
+            out[-1] = (*out[-1][:2], place)
+            last = word
+        return out
+
     @staticmethod
     def _set(word: str) -> int:
         """The characters of a word as bits, several characters to a bit."""
@@ -107,6 +127,73 @@ class Vocabulary:
                     best = (least, place)
         return best
 
+    def nearest_of_many(self, words: Sequence[str], within: Sequence[int]) -> list[tuple[int, int] | None]:
+        """``nearest`` of each word."""
+        out: list[tuple[int, int] | None] = [None] * len(words)
+        width = np.array([16 if len(w) <= 16 else 32 if len(w) <= 32 else 64 if len(w) <= 64 else 0 for w in words], np.int64)
+        for bits, kind in ((16, np.uint16), (32, np.uint32), (64, np.uint64)):
+            own = np.flatnonzero(width == bits)
+            if own.size <= ALONE or not self.tree:
+                width[own] = 0
+                continue
+            # masks by character and columns by length stay within MASKS numbers
+            together = max(1, min(TOGETHER, MASKS // (len(self.known) + 2 * int(self.lengths[0]) + 3)))
+            for some in np.array_split(own, -(-own.size // together)):
+                best, place = self._walk([words[i] for i in some], kind)
+                for i, distance, at in zip(some.tolist(), best.tolist(), place.tolist()):
+                    if 1 <= within[i] and distance <= within[i]:
+                        out[i] = (distance, at)
+        for i in np.flatnonzero(width == 0):
+            out[i] = self.nearest(words[i], within[i])
+        return out
+
+    def _walk(self, words: Sequence[str], kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """Distance and place of the nearest word, the first by alphabet of equal ones."""
+        n, one = len(words), kind(1)
+        masks, bits = np.zeros((len(self.known) + 1, n), kind), [kind(1 << j) for j in range(max(map(len, words)))]
+        for i, word in enumerate(words):
+            for bit, ch in zip(bits, word):
+                masks[self.known.get(ch, 0), i] |= bit
+        masks[0] = 0
+        full = np.array([(1 << len(w)) - 1 for w in words], kind)
+        deep = max(length for length, _, _ in self.tree)
+        plus, minus = np.empty((deep + 1, n), kind), np.empty((deep + 1, n), kind)
+        plus[0], minus[0] = ~kind(0), 0
+        best, place = np.full(n, 1 << 30, np.int32), np.zeros(n, np.int32)
+        x, d, up = (np.empty(n, kind) for _ in range(3))
+        ups, downs = np.empty(n, np.uint8), np.empty(n, np.uint8)
+        score, nearer = np.empty(n, np.int32), np.empty(n, bool)
+        for length, char, word in self.tree:
+            p, m, to_p, to_m = plus[length - 1], minus[length - 1], plus[length], minus[length]
+            np.bitwise_or(masks[char], m, out=x)
+            np.bitwise_and(x, p, out=d)
+            np.add(d, p, out=d)
+            np.bitwise_xor(d, p, out=d)
+            np.bitwise_or(d, x, out=d)
+            np.bitwise_or(p, d, out=up)
+            np.invert(up, out=up)
+            np.bitwise_or(up, m, out=up)
+            np.left_shift(up, one, out=up)
+            np.bitwise_or(up, one, out=up)
+            np.bitwise_and(p, d, out=x)
+            np.left_shift(x, one, out=x)
+            np.bitwise_or(up, d, out=to_p)
+            np.invert(to_p, out=to_p)
+            np.bitwise_or(to_p, x, out=to_p)
+            np.bitwise_and(up, d, out=to_m)
+            if word < 0:
+                continue
+            # the distance is the sum of the column's steps, from the length of the beginning on
+            np.bitwise_count(np.bitwise_and(to_p, full, out=x), out=ups)
+            np.bitwise_count(np.bitwise_and(to_m, full, out=x), out=downs)
+            np.subtract(ups, downs, out=score, dtype=np.int32)
+            np.add(score, np.int32(length), out=score)
+            np.less(score, best, out=nearer)
+            if nearer.any():
+                np.copyto(best, score, where=nearer)
+                np.copyto(place, word, where=nearer)
+        return best, place
+
 
 def nearest_in_block(words: DataFrame, block: Sequence[str], k: int | None = None) -> DataFrame:
     """(word, match, distance): the nearest of ``block``, less than the word's length away and at most ``k``."""
@@ -114,16 +201,22 @@ def nearest_in_block(words: DataFrame, block: Sequence[str], k: int | None = Non
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            rows = []
-            for word in batch.column("word").to_pylist():
-                within = len(word) - 1 if k is None else min(k, len(word) - 1)
-                best = own.nearest(word, within)
-                if best:
-                    rows.append((word, own.words[best[1]], best[0]))
+        held: list[str] = []
+
+        def told() -> pa.RecordBatch:
+            within = [len(w) - 1 if k is None else min(k, len(w) - 1) for w in held]
+            rows = [(w, own.words[b[1]], b[0]) for w, b in zip(held, own.nearest_of_many(held, within)) if b]
             columns = zip(*rows) if rows else ((), (), ())
             kinds = (pa.string(), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["word", "match", "distance"])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["word", "match", "distance"])
+
+        for batch in batches:
+            held += batch.column("word").to_pylist()
+            if len(held) >= TOGETHER:
+                yield told()
+                held = []
+        if held:
+            yield told()
 
     return words.select("word").mapInArrow(look, "word string, match string, distance int")
 

@@ -44,6 +44,19 @@ def test_nearest_is_the_first_of_the_nearest(word, words, k):
     assert (got and (got[0], own.words[got[1]])) == (best if best and best[0] <= within else None)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(WORD, st.text(alphabet="ab", min_size=15, max_size=70)), min_size=1, max_size=12), st.lists(WORD, max_size=12))
+def test_words_that_walk_together_find_the_same(unknown, words):
+    own, within = nearest.Vocabulary(words), [len(w) - 1 for w in unknown]
+    alone = nearest.ALONE
+    try:
+        nearest.ALONE = 0
+        got = own.nearest_of_many(unknown, within)
+    finally:
+        nearest.ALONE = alone
+    assert got == [own.nearest(w, k) for w, k in zip(unknown, within)]
+
+
 @pytest.mark.parametrize("block", [100, 4])
 def test_blocks_give_the_same(frame, block):
     words = ["heart", "hart", "lung", "liver", "kidney", "spleen", "aorta", "vein"]
