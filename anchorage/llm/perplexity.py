@@ -6,7 +6,7 @@ derives lower orders, discounts and back-off weights with joins and aggregates o
 n-gram types.  What is counted grows with the corpus; the model is bounded by the
 key space, 64^4 + 64^3 + 64^2 + 64 types (200 MB, some 2 MB on one alphabet), so
 it can be broadcast.  It is stored as sorted arrays of n-gram keys and log
-probabilities, searched by halving.
+probabilities, searched by halving; a task makes a table of the scores after known contexts.
 
 What a text says in words is judged by the model of ``wordmodel``, which grows with
 the corpus.
@@ -28,7 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ from .wordmodel import word_scores
 
 ORDER, BITS = 4, 6
 CLASSES = 1 << BITS
+#: Contexts whose scores a task holds as a table, 512 bytes each; others are searched for.
+KNOWN = 1 << 16
 #: Width of a band: interquartile ranges beyond the quartiles, and the least range in nats.
 FENCE, LEAST = 4.0, 0.03
 #: The same above the third quartile of word perplexity, in ranges from the median to it.
@@ -122,9 +124,26 @@ class Model:
     logs: list[np.ndarray]
     contexts: list[np.ndarray]
     weights: list[np.ndarray]
+    #: Scores after the first ``KNOWN`` contexts, made where they are first needed: the row of each context, from 1, and the rows.
+    known: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False, compare=False)
 
     def score(self, key: np.ndarray) -> np.ndarray:
         """Natural log probability of the last symbol of each ORDER-gram; unseen ones back off."""
+        if self.known is None:
+            contexts = self.contexts[-1][:KNOWN]
+            row = np.zeros(CLASSES ** (ORDER - 1), np.int32)
+            row[contexts] = np.arange(1, contexts.size + 1)
+            every = (np.append(np.zeros(1, np.int32), contexts)[:, None] << BITS | np.arange(CLASSES, dtype=np.int32)).ravel()
+            self.known = row, self._searched(every.astype(np.int32))
+        row, scores = self.known
+        at = row[key >> BITS]
+        out = scores[at << BITS | key & (CLASSES - 1)]
+        other = np.flatnonzero(at == 0)
+        if other.size:
+            out[other] = self._searched(key[other])
+        return out
+
+    def _searched(self, key: np.ndarray) -> np.ndarray:
         out = np.zeros(key.size)
         open_ = np.arange(key.size)
         for order in range(ORDER, 0, -1):

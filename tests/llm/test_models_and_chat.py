@@ -1,10 +1,13 @@
 import hashlib
 import json
+import pathlib
+import time
 
 import numpy as np
 import pytest
 from hypothesis import given, strategies as st
 
+from anchorage import session
 from anchorage.llm import chat, cotraining, perplexity, toxicity, wordmodel
 
 
@@ -55,6 +58,70 @@ def test_shuffled_words_are_rejected_and_the_word_model_grows(docs):
     assert wordmodel.pairs(docs(plain + more)).count() > 1.9 * wordmodel.pairs(docs(plain)).count()
 
 
+def test_batches_are_answered_with_the_counts_of_all_texts(docs, monkeypatch):
+    monkeypatch.setattr(wordmodel, "PART", 500)
+    rng = np.random.default_rng(5)
+    rows = docs([(i, " ".join(f"w{k}" for k in (rng.random(60) ** 3 * 400).astype(int))) for i in range(200)] + [(900, None), (901, " ")])
+    batches, counted, said, n_tokens, n_words = wordmodel.answers(rows.repartition(6))
+    plain = {(r["before"], r["word"]): r["n"] for r in wordmodel.pairs(rows).collect()}
+    start = int(wordmodel.START.astype(np.int64))
+    assert n_tokens == sum(plain.values()) == 200 * 60 and n_words == len({w for _, w in plain}) and batches.count() > 1
+    heard = {}
+    for r in counted.unionByName(said).orderBy("part").collect():
+        heard.setdefault((r["batch"], r["kind"]), []).append((r["kind"], r["payload"]))
+    firsts = 0
+    for r in batches.collect():
+        own = wordmodel.Batch(r["payload"])
+        hashed = own.hashes.view(np.int64)
+        place = {int(g): (int(hashed[b]), int(hashed[w])) for g, b, w in zip(own.grams(), own.before, own.at)}
+        (pair,) = wordmodel._answers(heard[r["batch"], wordmodel.PAIRS], wordmodel.PAIRS, 1)
+        assert [plain[place[g]] for g in sorted(place)] == (pair >> 1).tolist()
+        firsts += int((pair & 1).sum())
+        word, tokens, kinds = wordmodel._answers(heard[r["batch"], wordmodel.WORDS], wordmodel.WORDS, 3)
+        for k, h in enumerate(np.sort(own.hashes).view(np.int64).tolist()):
+            after = [n for (b, _), n in plain.items() if b == h]
+            assert (tokens[k], kinds[k], word[k]) == (sum(after), len(after), sum(n for (_, w), n in plain.items() if w == h))
+            assert h != start or (tokens[k], word[k]) == (200, 0)
+    assert firsts == len(plain)
+
+
+def test_word_model_stores_less_than_a_hash_for_each_pair(docs, spark):
+    rng = np.random.default_rng(7)
+    rows = docs([(i, " ".join(f"w{k}" for k in rng.integers(0, 3000, 1000))) for i in range(300)]).repartition(4).persist()
+    model = perplexity.train(perplexity.grams(rows).persist())
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(folder.iterdir())
+    assert wordmodel.word_scores(rows, model).count() == 300
+    stored = sum(f.stat().st_size for x in set(folder.iterdir()) - before for f in x.rglob("*.parquet"))
+    assert stored < 8 * wordmodel.pairs(rows).count()
+
+
+def test_shuffle_files_of_a_stage_are_removed(spark):
+    held = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f for f in held.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+    before = shuffled()
+    rows = session.stage(spark.range(1000).repartition(3, "id"), "freed", freed=True)
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before and rows.count() == 1000
+    session.stage(spark.range(1000).repartition(3, "id"), "plain")
+    assert shuffled() - before
+
+
+def test_known_contexts_score_as_searched_ones():
+    rng = np.random.default_rng(2)
+    own = [np.unique(rng.integers(0, 64**k, 900)).astype(np.int32) for k in range(1, 5)]
+    model = perplexity.Model(own, [rng.random(k.size).astype(np.float32) for k in own], [], [])
+    model.contexts = [np.unique(k >> 6) for k in own]
+    model.weights = [rng.random(k.size).astype(np.float32) for k in model.contexts]
+    wanted = np.concatenate([own[3], rng.integers(0, 64**4, 5000).astype(np.int32)])
+    assert (model.score(wanted) == model._searched(wanted)).all()
+
+
 def test_word_probabilities_by_hand():
     # a pair said 5 times, once by the text itself; 10 tokens of 4 kinds after its first word, 8 of its word; 100 tokens, 20 words
     model, own = np.array([[5], [10], [4], [8]]), np.array([[1], [2], [1]])
