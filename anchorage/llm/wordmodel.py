@@ -21,8 +21,8 @@ A text is scored without its own words: its counts are taken off the model's
 first, so a row of the corpus has no advantage over a new one.  Discounts are
 absolute; pairs back off to words, and words to the character model.
 
-Texts are told apart by a 64-bit hash; equal texts score alike.  Pairs are told apart by 56 bits of a
-hash, words by 64.  Words are runs of anything but ASCII white space, without case.
+Texts are told apart by a 64-bit hash; equal texts score alike.  Pairs and words are told apart by 56 bits of a
+hash.  Words are runs of anything but ASCII white space, without case.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -46,7 +47,7 @@ TURNS, BATCH_TURNS, DISCOUNT = 3, 6, 0.75
 UNIT = 1e6
 START = np.uint64(0x5851F42D4C957F2D)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of a pair's hash that are left out.
+#: Bits of a hash that are left out.
 _CUT = np.uint64(8)
 
 BATCH = "batch long, part int, kind int, payload binary"
@@ -59,6 +60,16 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").split()
 
 
+def split_words(texts: list[str]) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and the words of all, as ``words_of`` finds them."""
+    lists = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+    words, starts = lists.values, lists.offsets.to_numpy()
+    # blanks at the ends of a text leave empty words
+    some = pc.greater(pc.binary_length(words), 0)
+    sizes = np.diff(np.append(0, np.cumsum(some.to_numpy(zero_copy_only=False)))[starts])
+    return sizes, words.filter(some)
+
+
 def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
@@ -102,7 +113,7 @@ def _told(sorted_hashes: np.ndarray, *numbers: np.ndarray) -> bytes:
 
 def _heard(raw: bytes, numbers: int) -> list[np.ndarray]:
     n, (first, *others) = _split(raw, numbers + 1)
-    return [np.cumsum(_numbers(first, n), dtype=np.uint64), *(_numbers(x, n) for x in others)]
+    return [np.cumsum(_numbers(first, n), dtype=np.uint64), *(_numbers(x, n).astype(np.int64) for x in others)]
 
 
 def _row(batch: int, part: int, kind: int, payload: bytes) -> pa.RecordBatch:
@@ -150,14 +161,6 @@ def pairs(docs: DataFrame) -> DataFrame:
     return found.groupBy("before", "word").agg(F.sum("n").alias("n"))
 
 
-class _Places(dict):
-    """Words by the order in which they first come."""
-
-    def __missing__(self, word: bytes) -> int:
-        place = self[word] = len(self)
-        return place
-
-
 class Batch:
     """Texts as places in a dictionary of their words; the start mark has the place after the last word."""
 
@@ -187,17 +190,18 @@ class Batch:
             first = last
 
     @staticmethod
-    def packed(keys: list[int], texts: list[np.ndarray], words: list[bytes]) -> bytes:
-        at = np.concatenate(texts)
+    def packed(keys: list[int], sizes: list[int], words: list[pa.Array]) -> tuple[bytes, int]:
+        """The payload, and how many words its dictionary has."""
+        coded = pa.chunked_array(words, pa.large_string()).combine_chunks().dictionary_encode()
+        at, spelt = coded.indices.to_numpy(), coded.dictionary
         # frequent words get small numbers; words of one count are sorted, which compresses them
-        named = np.array(sorted(range(len(words)), key=words.__getitem__))
-        order = named[np.argsort(-np.bincount(at, minlength=len(words))[named], kind="stable")]
-        place = np.empty(len(words), np.int64)
-        place[order] = np.arange(len(words))
-        spelt = b"\n".join([words[i] for i in order.tolist()])
-        sizes = np.array([t.size for t in texts])
-        spelt = struct.pack("<q", len(spelt)) + pa.compress(spelt, "zstd", asbytes=True)
-        return _joined(at.size, _planes(sizes), np.array(keys, np.int64).tobytes(), spelt, _planes(place[at]))
+        named = pc.sort_indices(spelt).to_numpy()
+        order = named[np.argsort(-np.bincount(at, minlength=named.size)[named], kind="stable")]
+        place = np.empty(order.size, np.int64)
+        place[order] = np.arange(order.size)
+        dictionary = b"\n".join(spelt.cast(pa.large_binary()).take(pa.array(order)).to_pylist())
+        dictionary = struct.pack("<q", len(dictionary)) + pa.compress(dictionary, "zstd", asbytes=True)
+        return _joined(at.size, _planes(np.array(sizes)), np.array(keys, np.int64).tobytes(), dictionary, _planes(place[at])), order.size
 
 
 def batches_of(docs: DataFrame) -> DataFrame:
@@ -207,28 +211,25 @@ def batches_of(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         task, number = TaskContext.get().partitionId(), 0
-        keys, texts, held, size, known = [], [], 0, 0, _Places()
+        keys, sizes, words, size = [], [], [], 0
 
         def told() -> pa.RecordBatch:
-            row = _row(task << 32 | number, 0, TEXTS, Batch.packed(keys, texts, list(known)))
-            return row.append_column("tokens", pa.array([held], pa.int64())).append_column("words", pa.array([len(known)], pa.int64()))
+            payload, n = Batch.packed(keys, sizes, words)
+            row = _row(task << 32 | number, 0, TEXTS, payload)
+            return row.append_column("tokens", pa.array([sum(sizes)], pa.int64())).append_column("words", pa.array([n], pa.int64()))
 
         for batch in rows:
             for part in row_slices(batch, "text"):
-                for key, text in zip(part.column("key").to_pylist(), strings(part.column("text"))):
-                    words = words_of(text)
-                    if not words:
-                        continue
-                    before = len(known)
-                    texts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-                    keys.append(key)
-                    held += len(words)
-                    # a text brings no more new bytes than it has
-                    size += len(text) if len(known) > before else 0
-                    if held >= HELD or size >= HELD_BYTES:
-                        yield told()
-                        number += 1
-                        keys, texts, held, size, known = [], [], 0, 0, _Places()
+                n, own = split_words(strings(part.column("text")))
+                some = np.flatnonzero(n)
+                keys += part.column("key").to_numpy()[some].tolist()
+                sizes += n[some].tolist()
+                words.append(own)
+                size += own.nbytes
+                if sum(sizes) >= HELD or size >= HELD_BYTES:
+                    yield told()
+                    number += 1
+                    keys, sizes, words, size = [], [], [], 0
         if keys:
             yield told()
 
@@ -298,9 +299,9 @@ def _answers(rows: list[tuple], kind: int, numbers: int) -> list[np.ndarray]:
 
 
 def word_answers(batches: DataFrame, counted: DataFrame, n_parts: int) -> DataFrame:
-    """For each batch and part: tokens as a word, tokens before a word, and kinds of pairs after it, of each of the batch's words.
+    """For each batch and part, of each of the batch's words: its tokens, those of them with no word after, and those that are no new kind of pair.
 
-    The start mark is a word without tokens.  Rows of kind ``TEXTS`` say how many words each part has.
+    The start mark is a word without tokens, so it has fewer than none with no word after.  Rows of kind ``TEXTS`` say how many words each part has.
     """
 
     def make(turn: int) -> DataFrame:
@@ -313,8 +314,9 @@ def word_answers(batches: DataFrame, counted: DataFrame, n_parts: int) -> DataFr
                 word, before = np.bincount(texts.at, minlength=n), np.bincount(texts.before, minlength=n)
                 kinds = np.bincount(texts.before[first[answer & 1 == 1]], minlength=n)
                 order = np.argsort(texts.hashes)
-                sorted_ = texts.hashes[order]
-                yield from _cells(batch, WORDS, sorted_ >> np.uint64(32), n_parts, sorted_, word[order], before[order], kinds[order])
+                own, high = texts.hashes[order] >> _CUT, texts.hashes[order] >> np.uint64(32)
+                # most words are never last and before no word twice, so the differences are mostly 0
+                yield from _cells(batch, WORDS, high, n_parts, own, word[order], (word - before)[order], (before - kinds)[order])
 
         return by_batch(turn, batches, counted).select("batch", "kind", "payload").mapInArrow(send, BATCH)
 
@@ -400,7 +402,9 @@ def word_scores(docs: DataFrame, characters) -> DataFrame:
             texts = Batch(own[0][1])
             (pair,), words = _answers(own, PAIRS, 1), _answers(own, WORDS, 3)
             place = np.argsort(np.argsort(texts.hashes))
-            word, tokens, kinds = (x[place] for x in words)
+            word, last, again = (x[place] for x in words)
+            tokens = word - last
+            kinds = tokens - again
             grams = _kinds(texts.grams())[2]
             spelt = spelling(texts.words, shared.value)
             for some, inside in texts.slices():

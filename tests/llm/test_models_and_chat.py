@@ -77,7 +77,9 @@ def test_batches_are_answered_with_the_counts_of_all_texts(docs, monkeypatch):
         (pair,) = wordmodel._answers(heard[r["batch"], wordmodel.PAIRS], wordmodel.PAIRS, 1)
         assert [plain[place[g]] for g in sorted(place)] == (pair >> 1).tolist()
         firsts += int((pair & 1).sum())
-        word, tokens, kinds = wordmodel._answers(heard[r["batch"], wordmodel.WORDS], wordmodel.WORDS, 3)
+        word, last, again = wordmodel._answers(heard[r["batch"], wordmodel.WORDS], wordmodel.WORDS, 3)
+        tokens = word - last
+        kinds = tokens - again
         for k, h in enumerate(np.sort(own.hashes).view(np.int64).tolist()):
             after = [n for (b, _), n in plain.items() if b == h]
             assert (tokens[k], kinds[k], word[k]) == (sum(after), len(after), sum(n for (_, w), n in plain.items() if w == h))
@@ -85,6 +87,13 @@ def test_batches_are_answered_with_the_counts_of_all_texts(docs, monkeypatch):
     assert firsts == len(plain)
 
 
+@given(st.lists(st.text(st.sampled_from("aB\u0130\u00e9 \t\n\x0b\x0c\r\x1c\x85\xa0\0\U0001f600"), max_size=12), min_size=1, max_size=5))
+def test_words_are_split_alike(texts):
+    n, words = wordmodel.split_words(texts)
+    want = [wordmodel.words_of(t) for t in texts]
+    assert n.tolist() == [len(w) for w in want] and [w.encode() for w in words.to_pylist()] == [x for w in want for x in w]
+
+
 def test_word_model_stores_less_than_a_hash_for_each_pair(docs, spark):
     rng = np.random.default_rng(7)
     rows = docs([(i, " ".join(f"w{k}" for k in rng.integers(0, 3000, 1000))) for i in range(300)]).repartition(4).persist()
