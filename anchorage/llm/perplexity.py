@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import row_slices, stage, strings
+from .common import frugal, row_slices, stage, strings
 from .wordmodel import word_scores
 
 ORDER, BITS = 4, 6
@@ -100,6 +100,7 @@ def keys(marks: np.ndarray) -> np.ndarray:
 def grams(docs: DataFrame) -> DataFrame:
     """key, n: how often each ORDER-gram occurs in all texts."""
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
         for batch in batches:
@@ -233,6 +234,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Counts and mean negative log probability of each text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the key space
 
+    @frugal
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:

@@ -7,6 +7,8 @@ import os
 import re
 from collections.abc import Iterable
 
+from .common import LEFT
+
 # Unicode white space, as the tokenizers' patterns read it.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _RUNS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
@@ -134,3 +136,6 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """The encoder of this worker process."""
     return Encoder(path)
+
+
+LEFT.append(encoder.cache_clear)

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import row_slices, stage, strings
+from .common import frugal, row_slices, stage, strings
 
 #: Words of a batch, and bytes of its dictionary; words of a batch that are scored at once; pairs or words of a part of the model.
 HELD, HELD_BYTES, SCORED, PART = 1_500_000, 64_000_000, 250_000, 1_000_000
@@ -147,6 +147,7 @@ def pairs(docs: DataFrame) -> DataFrame:
     The counts by themselves, a row for each kind of pair; scores take the shorter way of ``answers``.
     """
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_slices(batch, "text"):
@@ -207,6 +208,7 @@ class Batch:
 def batches_of(docs: DataFrame) -> DataFrame:
     """Stored batches of all texts with words."""
 
+    @frugal
     def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -264,6 +266,7 @@ def pair_answers(batches: DataFrame, n_parts: int) -> DataFrame:
     """For each batch and part: twice the total of each of the batch's pairs, and one more if this is the first batch that has it."""
 
     def make(turn: int) -> DataFrame:
+        @frugal
         def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, payload in _rows(rows, "batch", "payload"):
                 gram = Batch(payload).grams()
@@ -271,6 +274,7 @@ def pair_answers(batches: DataFrame, n_parts: int) -> DataFrame:
                 gram, n = np.unique(gram, return_counts=True)
                 yield from _cells(batch, PAIRS, gram >> np.uint64(24), n_parts, gram, n)
 
+        @frugal
         def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, cells in _grouped(rows, "part", "batch", "payload"):
                 own = [_heard(raw, 1) for _, raw in cells]
@@ -305,6 +309,7 @@ def word_answers(batches: DataFrame, counted: DataFrame, n_parts: int) -> DataFr
     """
 
     def make(turn: int) -> DataFrame:
+        @frugal
         def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, own in _grouped(rows, "batch", "kind", "payload"):
                 texts = Batch(own[0][1])
@@ -320,6 +325,7 @@ def word_answers(batches: DataFrame, counted: DataFrame, n_parts: int) -> DataFr
 
         return by_batch(turn, batches, counted).select("batch", "kind", "payload").mapInArrow(send, BATCH)
 
+    @frugal
     def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, cells in _grouped(rows, "part", "batch", "payload"):
             own = [_heard(raw, 3) for _, raw in cells]
@@ -341,6 +347,7 @@ def answers(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int, int]
     counted = pair_answers(batches, 1 + n_tokens // PART)
     said = word_answers(batches, counted, 1 + n_local // PART)
 
+    @frugal
     def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (raw,) in _rows(rows, "payload"):
             yield pa.RecordBatch.from_arrays([pa.array(struct.unpack("<q", raw), pa.int64())], ["n"])
@@ -397,6 +404,7 @@ def word_scores(docs: DataFrame, characters) -> DataFrame:
     batches, counted, said, n_tokens, n_words = answers(docs)
     shared = docs.sparkSession.sparkContext.broadcast(characters)  # bounded by its key space
 
+    @frugal
     def rate(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in _grouped(rows, "batch", "kind", "payload"):
             texts = Batch(own[0][1])
