@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
 import functools
 import os
 import re
+import string
 from collections.abc import Iterable
 
 from .common import LEFT
@@ -17,7 +19,11 @@ _OTHER = re.compile(f"[{_SPACE.replace(' ', '', 1)}]".replace("\t-\r", "\t\x0b-\
 # Byte-level vocabularies show bytes as characters, a fixed rule: printable ones as
 # they are, the others from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_SHOWN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_OTHERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_SHOWN = "".join(_OTHERS.get(b, chr(b)) for b in range(256))
+
+# Marks after a letter are a piece of their own; no contraction ends in one.
+_MARKS = string.punctuation
 
 #: Words whose ids a worker remembers, about 200 bytes each.
 REMEMBERED = 700_000
@@ -87,6 +93,11 @@ class Encoder:
         return self._known[word]
 
     def _new(self, word: str) -> bytes:
+        if word.isalpha():
+            if self._lowers and (low := word.lower()) != word and max(word + low) < "\u0250":
+                return self._of(low)
+            if word.isascii():  # most words
+                return self._letters(word.lower() if self._lower else word)
         if not word:
             return b""
         letters = word[1:] if self._spaced and word[0] == " " else word
@@ -97,11 +108,11 @@ class Encoder:
             if max(letters) < "\u0250":
                 own = letters.lower() if self._lowers else self._normal.normalize_str(letters) if self._normal else letters
                 if own.isalpha() and max(own) < "\u0250":
-                    return self._letters(blank + own.encode().decode("latin-1").translate(_SHOWN))
+                    return self._letters(blank + codecs.charmap_decode(own.encode(), "strict", _SHOWN)[0])
         elif word[0] == "\n" and len(word) > 1 and not word[1].isspace():
             return self._of("\n") + self._of(word[1:])
         else:
-            core = word.rstrip(".,;:!?")
+            core = word.rstrip(_MARKS)
             if len(core) < len(word) and core[-1:].isalpha():
                 return self._of(core) + self._of(word[len(core) :])
         return self._merge(p for p, _ in self._split(self._normal.normalize_str(word) if self._normal else word))

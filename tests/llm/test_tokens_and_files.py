@@ -114,3 +114,16 @@ def test_few_and_many_places_give_one_grammar(monkeypatch):
         monkeypatch.setattr(grammar, "SHORT", short)
         got = [grammar.decode(payload, k, a, b) for k, a, b in ((0, 0, None), (1, 0, None), (1, 77, 5000), (0, 9, 9))]
         assert [x.tolist() for x in got] == [ids[:30_000].tolist(), ids[30_000:].tolist(), ids[30_077:35_000].tolist(), []]
+
+
+def test_a_word_is_merged_once_in_any_case_and_before_any_marks():
+    path = vocabulary("word_bpe_49k.json")
+    own, merged = tokens.Encoder(path), []
+
+    class Model:
+        tokenize = staticmethod(lambda word, model=own._model: merged.append(word) or model.tokenize(word))
+
+    own._model = Model
+    texts = ["ensher Ensher ENSHER, ensher$$$ Ensher.###", "Été été&&& Straße don't$$$ İx K'k Ǆa snake_ a-- 7%% Kb"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)]
+    assert got == [plain("word_bpe_49k.json", x) for x in texts] and merged.count("ensher") == 1
