@@ -1,7 +1,10 @@
 """Draws of stratified bootstraps, packed.
 
 A replicate draws as many rows of each class as it has; which one the i-th draw takes is the digest of
-``seed:rep:cls:i`` modulo the class size.  Digests are worked out many at a time.  Draws
+``seed:rep:cls:i`` modulo the class size.  Digests are worked out many at a time.
+
+Groups of up to ``HERE`` rows are drawn where the ranks of all their rows are: a task takes some replicates of as many
+groups as ``TOGETHER`` allows, which share the digests, and nothing of a draw travels.  Draws of larger groups
 meet their rows a block of ``BLOCK`` row numbers at a time, and then the draws of the other class a
 block of as many score ranks at a time: two shuffles of two bytes a draw, and no task
 holds more than a block of places and some replicates' draws from it.
@@ -10,10 +13,11 @@ holds more than a block of places and some replicates' draws from it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..session import stage
 from .ranking import _CHUNK
@@ -22,6 +26,8 @@ from .ranking import _CHUNK
 BLOCK = 1 << 16
 #: Draws that a task makes, and that meet in a task, at once.
 MADE = 1 << 22
+#: Rows of a group whose replicates are drawn in one task each, and rows of the groups that share a task.
+HERE, TOGETHER = 1 << 20, 1 << 23
 #: Digests worked out at once.
 AT_ONCE = 1 << 15
 
@@ -123,6 +129,72 @@ def drawn_chunks(placed: DataFrame, by: Sequence[str], replicates: int, seed: in
 
     ``placed``: by, cls (0 or 1), slot (from 1 in its class) and rank (from 1 among the distinct scores of its group).
     """
+    by = list(by)
+    sizes = stage(placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    large, small = sizes.where(F.col("_n") > HERE), sizes.where(F.col("_n") <= HERE)
+
+    def rows_of(groups: DataFrame, others: DataFrame) -> DataFrame:
+        if others.isEmpty():
+            return placed
+        same = [F.col(f"p.{c}").eqNullSafe(F.col(f"g.{c}")) for c in by]
+        return placed.alias("p").join(F.broadcast(groups.alias("g")), same, "left_semi")
+
+    parts = []
+    if not large.isEmpty():
+        parts.append(_drawn_apart(rows_of(large, small), by, replicates, seed))
+    if not parts or not small.isEmpty():
+        parts.append(_drawn_here(rows_of(small, large), small, by, replicates, seed))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _drawn_here(placed: DataFrame, sizes: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
+    """``drawn_chunks`` with one chunk a group, each replicate in one task."""
+    spark = placed.sparkSession
+    ranked = F.array_sort(F.collect_list(F.struct("slot", "rank")))
+    sides = placed.groupBy(*by, "cls").agg(F.transform(ranked, lambda e: e["rank"].cast("int")).alias("ranks"))
+    # a row a group and class: both lie together, in bundles of so many rows
+    before = F.coalesce(F.sum("_n").over(W.orderBy(*by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) if by else F.lit(0)
+    bundles = sizes.withColumn("_bundle", F.floor(before / TOGETHER)).drop("_n")
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    held = sides.alias("s").join(F.broadcast(bundles.alias("b")), same) if by else sides.alias("s").crossJoin(bundles)
+    held = stage(held.select(*[f"s.{c}" for c in by], "cls", "ranks", "_bundle"), "ranks")
+    tasks = max(1, min(replicates, 4 * spark.sparkContext.defaultParallelism))
+    step = -(-replicates // tasks)
+    made = T.StructType([*(held.schema[c] for c in by), *T.StructType.fromDDL(f"rep long, {_CHUNK} long, wins double, pos long, neg long").fields])
+    schema = _arrow(made)
+
+    def draw(table: pa.Table) -> pa.Table:
+        groups: dict[tuple, list[np.ndarray]] = {}
+        none = np.zeros(0, np.int32)
+        ranks = table.column("ranks").combine_chunks()
+        for i, (*own, cls) in enumerate(zip(*(table.column(c).to_pylist() for c in (*by, "cls")))):
+            groups.setdefault(tuple(own), [none, none])[cls] = ranks[i].values.to_numpy(zero_copy_only=False)
+        first, columns = table.column("_first")[0].as_py(), [[] for _ in schema]
+        longest = [max(side[cls].size for side in groups.values()) for cls in (0, 1)]
+        for rep in range(first, min(replicates, first + step)):
+            heads = [digest_heads(f"{seed}:{rep}:{cls}:", 1, n) for cls, n in enumerate(longest)]
+            places: dict[tuple[int, int], np.ndarray] = {}
+            for own, sides in groups.items():
+                drawn = []
+                for cls, side in enumerate(sides):
+                    n = side.size
+                    if (cls, n) not in places:
+                        places[cls, n] = heads[cls][:n] % max(1, n)
+                    drawn.append(side[places[cls, n]])
+                top = max((int(side.max()) for side in sides if side.size), default=0)
+                neg = np.bincount(drawn[0], minlength=top + 1)
+                wins = (2 * np.cumsum(neg) - neg)[drawn[1]].sum() / 2.0
+                for c, v in zip(columns, (*own, rep, 0, float(wins), drawn[1].size, drawn[0].size)):
+                    c.append(v)
+        return _made(columns, schema)
+
+    turns = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(step)))
+    dealt = held.withColumn("_first", turns).repartition(4 * tasks, "_bundle", "_first")
+    return stage(dealt.groupBy("_bundle", "_first").applyInArrow(draw, made), "drawn")
+
+
+def _drawn_apart(placed: DataFrame, by: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """``drawn_chunks`` of groups that no task holds."""
     by, spark = list(by), placed.sparkSession
     keys = [placed.schema[c] for c in by]
     sizes = placed.groupBy(*by, "cls").agg(F.max("slot").alias("n"))
